@@ -35,7 +35,7 @@ def scale_policy(spark: SparkSession) -> ScalePolicy:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; runs no job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
