@@ -74,7 +74,7 @@ def _(spark, d):
 
 
 @query("join_multi_source", """
-    select player_id, season, team_id, case when player_id % 2 = 0 then steal_rate when team_id <> 'A' then block_rate when season < '1999' then foul_rate end as steal_rate,
+    select player_id, season, team_id, coalesce(case when player_id % 2 = 0 then steal_rate end, case when team_id <> 'A' then block_rate end, case when season < '1999' then foul_rate end) as steal_rate,
            case when team_id <> 'A' then usage_pct end as usage_pct
     from v_season_stats""", doubles="steal_rate usage_pct", needs="v_season_stats")
 def _(spark, d):

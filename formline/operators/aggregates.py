@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from formline.config import RECENT_GAMES, REGULAR_SEASON_GAMES, SEASON_STAT_COLUMNS
 from formline.functions.scalars import clamp, number, per_unit, rate_stats, row_mean, safe_divide, season_start_year
 from formline.operators.joins import join_same, lookup
-from formline.operators.ordered import Frames, over_history, positions
+from formline.operators.ordered import Frames, hot_groups, over_history
 from formline.operators.quantiles import group_quantiles
 from formline.operators.topk import tail_per_key
 from formline.operators.windows import carry_fill
@@ -120,16 +120,21 @@ def consistency_stats(
 ) -> DataFrame:
     """Distribution of each stat per group: mean, std, cv, quantiles, share above the mean."""
     values = df.withColumns({s: number(s) for s in stats})
-    with_mean = over_history(values, keys, [], Frames(whole={f"__m_{s}": F.avg(s) for s in stats}))
+    hot = hot_groups(values, keys)
+    with_mean = over_history(values, keys, [], Frames(whole={f"__m_{s}": F.avg(s) for s in stats}), hot)
     aggs = [F.count(F.lit(1)).alias("games_observed")]
     for s in stats:
         above = F.when(F.col(s).isNotNull(), (F.col(s) > F.col(f"__m_{s}")).cast("double"))
         aggs += [
             F.avg(s).alias(f"{s}_mean"), F.stddev_pop(s).alias(f"{s}_std"), F.avg(above).alias(f"{s}_above_mean_rate"),
         ]
-    base = with_mean.groupBy(*keys).agg(*aggs).filter(F.col("games_observed") >= min_games)
-    quantiles = group_quantiles(values, keys, stats, fractions)
-    out = join_same(base, quantiles, keys)
+    if hot is None:
+        # small groups: quantiles ride along in the same aggregate
+        wanted = F.array(*[F.lit(float(p)) for p in fractions])
+        aggs += [F.percentile(s, wanted).alias(f"{s}__q") for s in stats]
+    out = with_mean.groupBy(*keys).agg(*aggs).filter(F.col("games_observed") >= min_games)
+    if hot is not None:
+        out = join_same(out, group_quantiles(values, keys, stats, fractions, hot), keys, None)
     extra = {}
     for s in stats:
         extra[f"{s}_cv"] = F.when(F.col(f"{s}_mean") > 0, F.col(f"{s}_std") / F.col(f"{s}_mean"))

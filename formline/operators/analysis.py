@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from formline.functions.scalars import number, row_mean
 from formline.operators.frames import union_all
 from formline.operators.joins import lookup, merge_signal_tables
-from formline.operators.imputing import one_row
 from formline.operators.ordered import Frames, over_history
-from formline.operators.quantiles import group_quantiles
+from formline.operators.quantiles import global_quantiles
 
 
 def feature_pairs(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
@@ -25,10 +24,15 @@ def feature_pairs(df: DataFrame, target: str, features: Sequence[str]) -> DataFr
     )
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation, NULL for a constant side."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson_ranking(df: DataFrame, target: str, features: Sequence[str], min_rows: int = 50) -> DataFrame:
     """Correlation with the target per feature over complete pairs; constants are left out."""
     out = feature_pairs(df, target, features).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"), F.corr("x", "y").alias("correlation"),
+        F.count(F.lit(1)).alias("rows"), _corr("x", "y").alias("correlation"),
         (F.min("x") < F.max("x")).alias("varies"),
     )
     kept = out.filter((F.col("rows") >= min_rows) & F.col("varies")).drop("varies")
@@ -64,7 +68,7 @@ def correlation_summary(df: DataFrame, target: str, features: Sequence[str], min
     """Pearson, Spearman and their gap per feature."""
     pairs = feature_pairs(df, target, features)
     base = pairs.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"), F.corr("x", "y").alias("pearson"),
+        F.count(F.lit(1)).alias("rows"), _corr("x", "y").alias("pearson"),
         ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"),
     ).filter((F.col("rows") >= min_rows) & F.col("varies")).drop("varies")
     out = base.join(spearman(pairs, "feature"), "feature").withColumn("target", F.lit(target))
@@ -90,9 +94,9 @@ def redundant_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0
     )
 
 
-def _binned(value: Column, edges: Column) -> Column:
+def _binned(value: Column, edges: Sequence[float]) -> Column:
     """Number of inner bin edges below the value."""
-    return F.size(F.filter(edges, lambda e: e < value))
+    return sum(((value > e).cast("int") for e in edges), F.lit(0))
 
 
 def mutual_information(
@@ -107,14 +111,14 @@ def mutual_information(
         *[number(c).alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical],
         (F.col(target).cast("string") if discrete_target else number(target)).alias(target),
     ).dropna(subset=[target])
-    edges = clean.withColumn("__e", one_row(group_quantiles(clean, [], columns, inner)) if columns else F.lit(None))
+    edges = global_quantiles(clean, columns, inner) if columns else {}
 
     def code(c: str) -> Column:
         if c in categorical or (c == target and discrete_target):
             return F.col(c)
-        return F.when(F.col(c).isNotNull(), _binned(F.col(c), F.col(f"__e.{c}__q")).cast("string"))
+        return F.when(F.col(c).isNotNull(), _binned(F.col(c), edges[c] or []).cast("string"))
 
-    coded = edges.select(code(target).alias("y"), *[code(c).alias(c) for c in features])
+    coded = clean.select(code(target).alias("y"), *[code(c).alias(c) for c in features])
     long = coded.unpivot(["y"], list(features), "feature", "x").filter(F.col("x").isNotNull())
     joint = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     nx = joint.groupBy("feature", "x").agg(F.sum("n").alias("nx"))
@@ -130,8 +134,7 @@ def signal_summary(frames: Sequence[DataFrame], scores: Sequence[str] = ("abs_sp
     """Full-joined scores, each over its maximum, and their mean."""
     merged = merge_signal_tables(frames)
     present = [c for c in scores if c in merged.columns]
-    top = merged.agg(*[F.max(c).alias(c) for c in present])
-    merged = merged.withColumn("__top", one_row(top))
-    ranked = {f"rank_score_{c}": F.try_divide(F.col(c), F.col(f"__top.{c}")) for c in present}
-    out = merged.withColumns(ranked).drop("__top")
+    top = merged.agg(*[F.max(c).alias(c) for c in present]).first()
+    ranked = {f"rank_score_{c}": F.try_divide(F.col(c), F.lit(top[c])) for c in present}
+    out = merged.withColumns(ranked)
     return out.withColumn("combined_signal_score", row_mean(list(ranked)))

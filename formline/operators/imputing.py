@@ -12,37 +12,39 @@ from pyspark.sql import functions as F
 from formline.functions.scalars import number
 from formline.operators.frames import missing_flags
 from formline.operators.joins import join_same
-from formline.operators.quantiles import group_quantiles
-
-
-def one_row(stats: DataFrame) -> Column:
-    """A one-row table as a struct value usable in another plan."""
-    return stats.select(F.struct(*[F.col(c) for c in stats.columns])).scalar()
+from formline.operators.ordered import hot_groups
+from formline.operators.quantiles import global_quantiles, group_quantiles
+from formline.session import cut
 
 
 def fill_median(df: DataFrame, columns: Sequence[str], fit_where: Column | None = None) -> DataFrame:
-    """NULL <- median of the fitting rows (all rows by default), 0 when nothing was observed."""
+    """NULL <- median of the fitting rows (all rows by default), 0 when nothing was observed.
+
+    The medians, one row, are fetched and used as constants.
+    """
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
     clean = df.withColumns({c: number(c) for c in present})
-    fit = clean if fit_where is None else clean.filter(fit_where)
-    stats = group_quantiles(fit, [], present, [0.5])
-    medians = clean.withColumn("__med", one_row(stats))
-    fills = {c: F.coalesce(F.col(c), F.col(f"__med.{c}__q")[0], F.lit(0.0)) for c in present}
-    return medians.withColumns(fills).drop("__med")
+    medians = global_quantiles(clean if fit_where is None else clean.filter(fit_where), present, [0.5])
+    return clean.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0] if medians[c] else 0.0)) for c in present})
 
 
 def group_median_fill(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
-    """NULL <- median of its group; what stays NULL <- global median of the filled column, then 0."""
+    """NULL <- median of its group; what stays NULL <- global median of the filled column, then 0.
+
+    The second step runs only for columns with a group that has no median.
+    """
     clean = df.withColumns({c: number(c) for c in columns})
-    stats = group_quantiles(clean, [group], columns, [0.5])
-    stats = stats.select(group, *[F.col(f"{c}__q")[0].alias(f"__g_{c}") for c in columns])
-    keyed = join_same(clean, stats, [group])
+    hot = hot_groups(clean, [group])
+    stats = group_quantiles(clean, [group], columns, [0.5], hot)
     # a NULL group has no median of its own
-    own = {c: F.coalesce(F.col(c), F.when(F.col(group).isNotNull(), F.col(f"__g_{c}"))) for c in columns}
-    filled = keyed.withColumns(own).drop(*[f"__g_{c}" for c in columns])
-    return fill_median(filled, columns)
+    own = {f"__g_{c}": F.when(F.col(group).isNotNull(), F.col(f"{c}__q")[0]) for c in columns}
+    stats = cut(stats.select(group, *[q.alias(n) for n, q in own.items()]))
+    gaps = stats.agg(*[F.max(F.isnull(f"__g_{c}").cast("int")).alias(c) for c in columns]).first()
+    keyed = join_same(clean, stats, [group], hot)
+    filled = keyed.withColumns({c: F.coalesce(c, f"__g_{c}") for c in columns}).drop(*own)
+    return fill_median(filled, [c for c in columns if gaps[c] != 0])
 
 
 def flag_and_fill(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
@@ -60,10 +62,10 @@ def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def standardize(df: DataFrame, columns: Sequence[str], fit_where: Column | None = None, suffix: str = "_z") -> DataFrame:
-    fit = df if fit_where is None else df.filter(fit_where)
-    fitted = df.withColumn("__fit", one_row(scaler_stats(fit, columns)))
-    z = {f"{c}{suffix}": (F.col(c) - F.col(f"__fit.{c}__mean")) / F.col(f"__fit.{c}__scale") for c in columns}
-    return fitted.withColumns(z).drop("__fit")
+    fit = scaler_stats(df if fit_where is None else df.filter(fit_where), columns).first()
+    return df.withColumns({
+        f"{c}{suffix}": (F.col(c) - F.lit(fit[f"{c}__mean"])) / F.lit(fit[f"{c}__scale"]) for c in columns
+    })
 
 
 def sequence_scaler(df: DataFrame, train: Column, scale_target: bool = False) -> DataFrame:
@@ -100,12 +102,16 @@ def apply_scaler(df: DataFrame, scaler: DataFrame) -> DataFrame:
     def scaled(cell: Column, stats: Column) -> Column:
         return F.zip_with(cell, stats, lambda v, s: ((v - s["mean"]) / s["scale"]).cast("float"))
 
-    fitted = df.withColumn("__sc", one_row(scaler))
-    return fitted.withColumns({
-        "x_seq_scaled": F.transform("x_seq", lambda cell: scaled(cell, F.col("__sc.seq"))),
-        "x_static_scaled": scaled(F.col("x_static"), F.col("__sc.static")),
-        "y_delta_scaled": ((F.col("y_delta") - F.col("__sc.y.mean")) / F.col("__sc.y.scale")).cast("float"),
-    }).drop("__sc")
+    fit = scaler.first()
+
+    def constants(entries) -> Column:
+        return F.array(*[F.struct(F.lit(e["mean"]).alias("mean"), F.lit(e["scale"]).alias("scale")) for e in entries])
+
+    return df.withColumns({
+        "x_seq_scaled": F.transform("x_seq", lambda cell: scaled(cell, constants(fit["seq"]))),
+        "x_static_scaled": scaled(F.col("x_static"), constants(fit["static"])),
+        "y_delta_scaled": ((F.col("y_delta") - fit["y"]["mean"]) / fit["y"]["scale"]).cast("float"),
+    })
 
 
 def scale_sequences(df: DataFrame, train: Column, scale_target: bool = False) -> DataFrame:
@@ -114,9 +120,8 @@ def scale_sequences(df: DataFrame, train: Column, scale_target: bool = False) ->
 
 def inverse_scaler(df: DataFrame, scaler: DataFrame, prediction: str, baseline: str = "baseline") -> DataFrame:
     """Predicted scaled delta back on stat scale: baseline + mean + scale * delta."""
-    fitted = df.withColumn("__sc", one_row(scaler))
-    restored = F.col(baseline) + F.col(prediction) * F.col("__sc.y.scale") + F.col("__sc.y.mean")
-    return fitted.withColumn("y_pred", restored).drop("__sc")
+    fit = scaler.first()["y"]
+    return df.withColumn("y_pred", F.col(baseline) + F.col(prediction) * fit["scale"] + fit["mean"])
 
 
 def tabular_preprocessor(numeric: Sequence[str], categorical: Sequence[str], scale: bool = False) -> Pipeline:

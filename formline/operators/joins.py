@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions.scalars import name_key, number
-from formline.operators.ordered import hot_groups, same_keys, split_hot
+from formline.operators.ordered import PROBE, hot_groups, same_keys, split_hot
 from formline.operators.topk import dedup_keep
+from formline.session import broadcast_bytes, plan_bytes
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join a dimension that is unique by ``on``; NULL keys match nothing.
 
-    Rows of hot keys (a NULL key included) skip the shuffle: their dimension rows are few.
+    A dimension Spark would broadcast anyway needs no care. Otherwise rows of hot keys (a
+    NULL key included) skip the shuffle: their dimension rows are few.
     """
-    hot = hot_groups(df, on)
+    hot = None if plan_bytes(dim) <= broadcast_bytes(df.sparkSession) else hot_groups(df, on)
     if hot is None:
         return df.join(dim, list(on), "left")
     big, small = split_hot(df, on, hot)
@@ -27,7 +29,9 @@ def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     return small.join(dim, list(on), "left").unionByName(big.join(F.broadcast(few), list(on), "left"))
 
 
-def join_same(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_same(
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], hot: DataFrame | str | None = PROBE
+) -> DataFrame:
     """Left join per-group results back to their rows; a NULL key is a group like any other."""
     names = [(k, f"__join_{i}") for i, k in enumerate(keys)]
     right = stats
@@ -37,7 +41,7 @@ def join_same(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame
     def attach(left: DataFrame, side: DataFrame) -> DataFrame:
         return left.join(side, same_keys(left, side, names), "left").drop(*[a for _, a in names])
 
-    hot = hot_groups(df, keys)
+    hot = hot_groups(df, keys, hot)
     if hot is None:
         return attach(df, right)
     big, small = split_hot(df, keys, hot)

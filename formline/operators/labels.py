@@ -24,20 +24,25 @@ HISTORY_ORDER = ("as_of_date", "game_id")
 
 # --- future horizons ----------------------------------------------------------------------
 def horizon_targets(
-    anchors: DataFrame, summary: DataFrame, key: str = "player_id", year: str = "season_start_year",
+    anchors: DataFrame, summary: DataFrame | None = None, key: str = "player_id", year: str = "season_start_year",
     horizons: Sequence[int] = HORIZONS,
 ) -> DataFrame:
     """Calendar horizons: the season ``year + h``.
 
     A season that was observed but lacks the player counts as inactive with 0 games; a season
-    after the last observed one leaves the labels NULL.
+    after the last observed one leaves the labels NULL. Anchors that are their own summary
+    (one row per key and year) look ahead in one window: the season ``year + h`` is within
+    the next h rows or absent. Another summary is joined per horizon.
     """
+    source = anchors if summary is None else summary
     rates = [f"{s}_per_{n}" for s in STATS for n in (36, 100)]
-    columns = [c for c in ("games_played", "minutes_per_game", *rates) if c in summary.columns]
-    last_year = summary.agg(F.max(year)).scalar()
-    out = anchors.withColumn("__last", last_year)
+    columns = [c for c in ("games_played", "minutes_per_game", *rates) if c in source.columns]
+    out = anchors.withColumn("__last", source.agg(F.max(year)).scalar())
+    if summary is None:
+        out = _ahead(out, key, year, horizons, columns)
     for h in horizons:
-        out = future_lookup_left(out, summary, key, year, h, columns)
+        if summary is not None:
+            out = future_lookup_left(out, summary, key, year, h, columns)
         present, games = F.col(f"present_h{h}"), F.col(f"games_played_h{h}")
         observed = (F.col(year) + h) <= F.col("__last")
         labels = {
@@ -54,6 +59,23 @@ def horizon_targets(
     return out.drop("__last")
 
 
+def _ahead(df: DataFrame, key: str, year: str, horizons: Sequence[int], columns: Sequence[str]) -> DataFrame:
+    """``<column>_h`` and ``present_h`` of the row exactly h years later, from one look-ahead window."""
+    row = F.struct(F.col(year).alias("year"), *columns)
+    steps = {f"__n{i}": shifted("__row", -i) for i in range(1, max(horizons) + 1)}
+    out = over_history(df.withColumn("__row", row), [key], [year], Frames(steps, ahead=max(horizons)))
+    made = {}
+    for h in horizons:
+        hits = [F.when(F.col(f"__n{i}.year") == F.col(year) + h, F.col(f"__n{i}")) for i in range(1, h + 1)]
+        made[f"__hit{h}"] = F.coalesce(*hits)
+    out = out.withColumns(made)
+    for h in horizons:
+        out = out.withColumns({
+            f"present_h{h}": F.col(f"__hit{h}").isNotNull(), **{f"{c}_h{h}": F.col(f"__hit{h}.{c}") for c in columns},
+        })
+    return out.drop("__row", *steps, *made)
+
+
 def horizon_targets_by_row(
     df: DataFrame, keys: Sequence[str] = ("player_id",), order: Sequence[str] = ("season_start_year",),
     horizons: Sequence[int] = HORIZONS,

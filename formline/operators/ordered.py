@@ -19,6 +19,8 @@ from formline.session import cut, plan_bytes, scale_policy
 
 _BLOCK, _POS, _CHUNK, _TARGET, _ROWS = "__block", "__pos", "__chunk", "__target", "__rows"
 
+PROBE = "probe"  # look for hot groups; callers that know them pass a table or None
+
 RUNNING = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -45,11 +47,14 @@ def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda a, b: a & b, (left[l].eqNullSafe(right[r]) for l, r in pairs))
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+def hot_groups(df: DataFrame, keys: Sequence[str], known: DataFrame | str | None = PROBE) -> DataFrame | None:
     """Groups with more rows than one task should take, with their row counts, or None.
 
     At most ``rows / group_rows`` groups can qualify, so the result is safe to broadcast.
+    Which groups are treated as hot affects speed only, never results.
     """
+    if not isinstance(known, str):
+        return known
     policy = scale_policy(df.sparkSession)
     if plan_bytes(df) < policy.probe_bytes:
         return None
@@ -77,13 +82,14 @@ def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def over_history(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], frames: Frames
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], frames: Frames,
+    hot: DataFrame | str | None = PROBE,
 ) -> DataFrame:
     """Add the columns of ``frames`` to every row; ``order`` must be total within a group.
 
     ``order`` may be empty when only whole-group columns are asked for.
     """
-    hot = hot_groups(df, keys)
+    hot = hot_groups(df, keys, hot)
     if hot is None:
         return _plain(df, keys, order, frames)
     big, small = split_hot(df, keys, hot)

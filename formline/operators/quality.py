@@ -11,7 +11,6 @@ from formline.config import QualityConfig
 from formline.functions.scalars import number
 from formline.operators.aggregates import value_counts
 from formline.operators.frames import numeric_columns, union_all
-from formline.operators.imputing import one_row
 
 _ISSUES = "severity string, check string, column string, message string"
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.operators.ordered import hot_groups, same_keys, split_hot
+from formline.operators.ordered import PROBE, hot_groups, same_keys, split_hot
 from formline.session import cut, scale_policy
 
 _GRID = 256
@@ -20,7 +20,8 @@ _ACCURACY = 4096
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], fractions: Sequence[float]
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], fractions: Sequence[float],
+    hot: DataFrame | str | None = PROBE,
 ) -> DataFrame:
     """One row per group (one row in all without keys) with ``<column>__q`` = array of quantiles.
 
@@ -30,7 +31,7 @@ def group_quantiles(
     group = list(keys)
     if not group:
         keyed, group = keyed.withColumn("__all", F.lit(1)), ["__all"]
-    hot = hot_groups(keyed, group)
+    hot = hot_groups(keyed, group, hot)
     wanted = F.array(*[F.lit(float(p)) for p in fractions])
 
     def plain(frame: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from formline.functions.scalars import number, safe_divide
-from formline.operators.ordered import Frames, over_history
+from formline.operators.ordered import Frames, hot_groups, over_history
 from formline.operators.quantiles import group_quantiles
 from formline.operators.joins import join_same
 
@@ -209,18 +209,19 @@ def robust_z(df: DataFrame, keys: Sequence[str], values: Mapping[str, str]) -> D
     Two exact-quantile aggregates per group replace two group-wide windows.
     """
     columns = list(values)
-    mids = group_quantiles(df, keys, columns, [0.5])
+    hot = hot_groups(df, keys)
+    mids = group_quantiles(df, keys, columns, [0.5], hot)
     mids = mids.select(*keys, *[F.col(f"{c}__q")[0].alias(f"__med_{c}") for c in columns])
-    centred = join_same(df, mids, keys).withColumns(
+    centred = join_same(df, mids, keys, hot).withColumns(
         {f"__dev_{c}": F.abs(F.col(c) - F.col(f"__med_{c}")) for c in columns}
     )
-    mads = group_quantiles(centred, keys, [f"__dev_{c}" for c in columns], [0.5])
+    mads = group_quantiles(centred, keys, [f"__dev_{c}" for c in columns], [0.5], hot)
     mads = mads.select(*keys, *[F.col(f"__dev_{c}__q")[0].alias(f"__mad_{c}") for c in columns])
     moments = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"__avg_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"__std_{c}") for c in columns],
     )
-    out = join_same(join_same(centred, mads, keys), moments, keys)
+    out = join_same(join_same(centred, mads, keys, hot), moments, keys, hot)
     for c, name in values.items():
         mad, std = F.col(f"__mad_{c}"), F.col(f"__std_{c}")
         flat = F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise(F.try_divide(F.col(c) - F.col(f"__avg_{c}"), std))

@@ -30,8 +30,9 @@ from formline.operators.labels import (
 from formline.operators.splits import assign_split, assign_split_year
 from formline.operators.topk import dedup_keep
 from formline.operators.windows import career_cumulative, form_features, lag_features, rest_days, trajectory
+from formline.session import cut
 from formline.sources.tables import (
-    Layers, load_game_logs, load_players, load_salaries, load_salary_cap, load_season_stats, require_columns, write_gold,
+    Layers, load_game_logs, load_gold, load_players, load_salaries, load_salary_cap, load_season_stats, require_columns, write_gold,
 )
 
 _PLAYER_COLUMNS = ("birth_date", "position", "height", "weight")
@@ -153,8 +154,12 @@ def season_anchors(
     logs: DataFrame, players: DataFrame, stats: DataFrame | None, order: Sequence[str] = ("game_date", "game_id"),
     stats_order: Sequence[str] = ("team_id",), sums: dict | None = None, means: dict | None = None,
 ) -> DataFrame:
-    """One row per player-season with totals, context, age and career counters."""
-    out = season_summary(logs, order=order, sums=sums, means=means)
+    """One row per player-season with totals, context, age and career counters.
+
+    The totals, small next to the logs, are written to the checkpoint folder because pace
+    medians and the result both read them.
+    """
+    out = cut(season_summary(logs, order=order, sums=sums, means=means))
     if stats is not None:
         wanted = [c for c in ("usage_pct", "pace", "offensive_rating", "defensive_rating") if c in stats.columns]
         out = enrich_left(out, stats, ["player_id", "season"], wanted, stats_order)
@@ -172,14 +177,16 @@ def build_long_term_training(
     mode: str = "calendar", horizons: Sequence[int] = HORIZONS, order: Sequence[str] = ("game_date", "game_id"),
     stats_order: Sequence[str] = ("team_id",), sums: dict | None = None, means: dict | None = None,
 ) -> DataFrame:
-    """Season anchors with lags, slopes, recent form and future-horizon labels."""
-    anchors = season_anchors(logs, players, stats, order, stats_order, sums, means)
+    """Season anchors with lags, slopes, recent form and future-horizon labels.
+
+    ``mode`` is ``calendar`` (season year + h) or ``row`` (next observed seasons).
+    """
+    anchors = cut(season_anchors(logs, players, stats, order, stats_order, sums, means))
     lagged = [c for c in LAG_FEATURES if c in anchors.columns]
     sloped = [c for c in SLOPE_FEATURES if c in anchors.columns]
     out = trajectory(anchors, ["player_id"], ["season_start_year"], lagged, sloped)
-    recent = recent_form(logs, ["player_id", "season"], order)
-    out = lookup(out, recent, ["player_id", "season"])
-    out = horizon_targets(out, anchors, horizons=horizons) if mode == "calendar" else horizon_targets_by_row(out, horizons=horizons)
+    out = horizon_targets(out, horizons=horizons) if mode == "calendar" else horizon_targets_by_row(out, horizons=horizons)
+    out = lookup(out, recent_form(logs, ["player_id", "season"], order), ["player_id", "season"])
     out = complete_cases(out, [f"active_h{h}" for h in horizons])
     out = out.withColumns({
         "anchor_season": F.col("season"), "anchor_season_start_year": F.col("season_start_year"),
@@ -370,12 +377,12 @@ def build_all_gold(spark: SparkSession, root: str, partition_by: dict[str, str]
     layers = Layers(root)
     players, logs = load_players(spark, layers), load_game_logs(spark, layers)
     stats, cap = load_season_stats(spark, layers), load_salary_cap(spark, layers)
-    role = build_role_features(players, stats)
+    write_gold(layers, {"player_role_features_clean": build_role_features(players, stats)}, partition_by)
+    role = load_gold(spark, layers, "player_role_features_clean")
     frames = {
-        "player_role_features_clean": role,
         "performance_training_clean": build_performance_training(logs),
         "salary_training_clean": build_salary_training(load_salaries(spark, layers), cap, players, role),
         "long_term_player_forecast_training": build_long_term_training(logs, players, stats),
     }
     write_gold(layers, frames, partition_by)
-    return frames
+    return {"player_role_features_clean": role, **frames}

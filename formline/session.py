@@ -38,6 +38,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Size up to which Spark broadcasts a join side by itself."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; set one only where none is named."""
     context = spark.sparkContext
