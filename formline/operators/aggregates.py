@@ -26,6 +26,15 @@ def total(c: str) -> Column:
     return F.coalesce(F.sum(number(c)), F.lit(0.0))
 
 
+def distinct_counts(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """Distinct values per group from a shuffle of (keys, value) alone.
+
+    Next to other aggregates a distinct count would drag all their buffers through that shuffle.
+    """
+    counted = df.select(*keys, column).distinct()
+    return counted.groupBy(*keys).agg(F.count(column).alias(name))
+
+
 def season_summary(
     logs: DataFrame, keys: Sequence[str] = ("player_id", "season"), order: Sequence[str] = ("game_date", "game_id"),
     sums: Mapping[str, str] | None = None, means: Mapping[str, str] | None = None,
@@ -37,16 +46,17 @@ def season_summary(
     sums = dict(sums or {})
     means = dict(means or {})
     last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))) for c in ("player_name", "team_id")}
-    grouped = logs.dropna(subset=list(keys)).groupBy(*keys).agg(
+    known = logs.dropna(subset=list(keys))
+    grouped = known.groupBy(*keys).agg(
         *[agg.alias(c) for c, agg in last.items()],
         F.max("game_date").alias("season_end_date"),
-        F.countDistinct("game_id").alias("games_played"),
         total("minutes").alias("total_minutes"),
         F.avg(number("minutes")).alias("minutes_per_game"),
         *[total(c).alias(c) for c in ("points", "assists", "rebounds")],
         *[total(src).alias(out) for out, src in sums.items()],
         *[F.avg(number(src)).alias(out) for out, src in means.items()],
     )
+    grouped = grouped.join(distinct_counts(known, keys, "game_id", "games_played"), list(keys))
     rates = {f"{s}_per_36": per_unit(c, "total_minutes", 36) for s, c in
              {"pts": "points", "ast": "assists", "reb": "rebounds", **{o: o for o in sums}}.items()}
     return grouped.withColumns({
@@ -60,7 +70,8 @@ def season_stats(logs: DataFrame, keys: Sequence[str] = ("player_id", "player_na
     """Season totals and rates per player, season and team; NULL keys form their own group."""
     optional = ["turnovers", "fga", "fg3a", "fta", "steals", "blocks", "defensive_rebounds", "personal_fouls"]
     summed = ["minutes", "points", "assists", "rebounds", *[c for c in optional if c in logs.columns]]
-    grouped = logs.groupBy(*keys).agg(F.countDistinct("game_id").alias("games"), *[total(c).alias(c) for c in summed])
+    grouped = logs.groupBy(*keys).agg(*[total(c).alias(c) for c in summed])
+    grouped = join_same(grouped, distinct_counts(logs, keys, "game_id", "games"), keys, None)
     absent = [c for c in optional if c not in logs.columns]
     grouped = grouped.withColumns({c: F.lit(None).cast("double") for c in absent}) if absent else grouped
     out = rate_stats(grouped)

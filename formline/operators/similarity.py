@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,5 +191,6 @@ def cosine_similar(
     own = [F.col("__v")[i] for i in range(len(used))]
     constant = [F.lit(g) for g in goal]
     score = F.coalesce(F.try_divide(dot(own, constant), F.sqrt(dot(own, own)) * F.sqrt(dot(constant, constant))), F.lit(0.0))
-    others = vector.filter(~(F.struct(*ties) == F.struct(*[F.lit(row[t]) for t in ties])))
+    itself = reduce(lambda a, b: a & b, (F.col(t).eqNullSafe(F.lit(row[t])) for t in ties))
+    others = vector.filter(~itself)
     return top_n(others.withColumn("similarity_score", score).drop("__v"), "similarity_score", top_k, ties)

@@ -159,11 +159,12 @@ def season_anchors(
     The totals, small next to the logs, are written to the checkpoint folder because pace
     medians and the result both read them.
     """
-    out = cut(season_summary(logs, order=order, sums=sums, means=means))
+    out = season_summary(logs, order=order, sums=sums, means=means)
     if stats is not None:
         wanted = [c for c in ("usage_pct", "pace", "offensive_rating", "defensive_rating") if c in stats.columns]
         out = enrich_left(out, stats, ["player_id", "season"], wanted, stats_order)
     if "pace" in out.columns:
+        out = cut(out)
         out = estimated_possessions(out)
     bio = [c for c in _PLAYER_COLUMNS if c in players.columns]
     out = enrich_left(out, players, ["player_id"], bio, ["player_id", *bio])
