@@ -18,7 +18,7 @@ DERIVED["sim_base"] = (("role", "salary"), """
     left join salary s on s.player_id = r.player_id and s.season_start_year = r.season_start_year""")
 
 QUERIES = [
-    Query("supplier#12"), Query("Supplier#33", "1998-99", top_n=5, cheaper_only=True, younger_only=True),
+    Query("supplier#2"), Query("Supplier#3", "1998-99", top_n=5, cheaper_only=True, younger_only=True),
     Query("SUPPLIER#7", "1999-00", top_n=7, same_position_group=False, age_max=35.0, minutes_min=500.0, salary_cap_share_max=0.0102),
 ]
 
@@ -105,14 +105,14 @@ def _cosine_sql() -> str:
     dot = lambda a, b: " + ".join(f"{a}.z_{f} * {b}.z_{f}" for f in ROLE_DIMENSIONS)
     return f"""
         with z as (select player_id, player_name, season, team_id, {z} from role),
-             t as (select * from z where lower(player_name) = 'supplier#21' order by player_id desc, season desc, team_id desc limit 1)
+             t as (select * from z where lower(player_name) = 'supplier#5' order by player_id desc, season desc, team_id desc limit 1)
         select z.player_id, z.season, z.team_id, ({dot('z', 't')}) / (sqrt({dot('z', 'z')}) * sqrt({dot('t', 't')})) as similarity_score from z, t
         where (z.player_id, z.season, z.team_id) <> (t.player_id, t.season, t.team_id) order by similarity_score desc, 1, 2, 3 limit 10"""
 
 
 @query("cosine_similar", _cosine_sql(), doubles="similarity_score", needs="role")
 def _(spark, d):
-    return similarity.cosine_similar(cut(role(spark, d)), "Supplier#21", weights=WEIGHTS).select("player_id", "season", "team_id", "similarity_score")
+    return similarity.cosine_similar(cut(role(spark, d)), "Supplier#5", weights=WEIGHTS).select("player_id", "season", "team_id", "similarity_score")
 
 
 @query("cosine_similar_vectors", """

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from formline.session import cut, plan_bytes, scale_policy
 
-_BLOCK, _POS, _CHUNK, _TARGET, _ROWS = "__block", "__pos", "__chunk", "__target", "__rows"
+_BLOCK, _POS, _CHUNK, _TARGET, _ROWS = "__fl_block", "__fl_pos", "__fl_chunk", "__fl_target", "__fl_rows"
 
 PROBE = "probe"  # look for hot groups; callers that know them pass a table or None
 
@@ -131,14 +131,14 @@ def _number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], h
     offsets = (
         placed.groupBy(*keys, _BLOCK)
         .agg(F.count(F.lit(1)).alias(_ROWS))
-        .withColumn("__offset", F.coalesce(F.sum(_ROWS).over(earlier), F.lit(0)))
+        .withColumn("__fl_offset", F.coalesce(F.sum(_ROWS).over(earlier), F.lit(0)))
         .drop(_ROWS)
     )
     in_block = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     return (
         _attach(placed, offsets, [*keys, _BLOCK])
-        .withColumn(_POS, F.col("__offset") + F.row_number().over(in_block) - 1)
-        .drop("__offset", _BLOCK)
+        .withColumn(_POS, F.col("__fl_offset") + F.row_number().over(in_block) - 1)
+        .drop("__fl_offset", _BLOCK)
     )
 
 
@@ -164,7 +164,7 @@ def _chunked(placed: DataFrame, keys: Sequence[str], frames: Frames) -> DataFram
     out |= {n: RUNNING[k](F.when(own, c)).over(onward) for n, (k, c) in frames.suffix.items()}
     result = copies.withColumns(out).filter(own).drop(_TARGET, _POS) if out else base.drop(_POS)
 
-    totals = {**frames.running, **{f"__s_{n}": spec for n, spec in frames.suffix.items()}}
+    totals = {**frames.running, **{f"__fl_s_{n}": spec for n, spec in frames.suffix.items()}}
     if totals:
         result = _carry(result, base, keys, frames, totals)
     if frames.whole:
@@ -176,18 +176,18 @@ def _chunked(placed: DataFrame, keys: Sequence[str], frames: Frames) -> DataFram
 def _carry(result: DataFrame, base: DataFrame, keys: Sequence[str], frames: Frames, totals: Mapping) -> DataFrame:
     """Fold the totals of the other chunks (one row per chunk of a hot group) into each row."""
     merge = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
-    per_chunk = base.groupBy(*keys, _CHUNK).agg(*[RUNNING[k](c).alias(f"__t_{n}") for n, (k, c) in totals.items()])
+    per_chunk = base.groupBy(*keys, _CHUNK).agg(*[RUNNING[k](c).alias(f"__fl_t_{n}") for n, (k, c) in totals.items()])
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
     carried = {}
     for name, (kind, _) in totals.items():
         fold = F.sum if kind in ("sum", "count") else RUNNING[kind]
-        frame = after if name.startswith("__s_") else before
-        carried[f"__c_{name}"] = fold(f"__t_{name}").over(frame)
+        frame = after if name.startswith("__fl_s_") else before
+        carried[f"__fl_c_{name}"] = fold(f"__fl_t_{name}").over(frame)
     small = per_chunk.withColumns(carried).select(*keys, _CHUNK, *carried)
     joined = _attach(result, small, [*keys, _CHUNK])
     for name, (kind, _) in totals.items():
-        target = name.removeprefix("__s_")
+        target = name.removeprefix("__fl_s_")
         combine = merge["sum"] if kind in ("sum", "count") else merge[kind]
-        joined = joined.withColumn(target, combine(F.col(target), F.col(f"__c_{name}")))
+        joined = joined.withColumn(target, combine(F.col(target), F.col(f"__fl_c_{name}")))
     return joined.drop(*carried)
