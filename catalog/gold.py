@@ -101,10 +101,11 @@ DERIVED["salary"] = (("salary_raw",), f"""
            salary_usd is null as salary_usd_was_missing, {split_sql('season_label', LONG_SPLIT)} as split from salary_raw""")
 
 
-def salary(spark, d):
+def salary(spark, d, role_table=None):
     """Salary table over the role table, which is materialised first as the gold build does."""
+    role_table = cut(role(spark, d)) if role_table is None else role_table
     return builders.build_salary_training(
-        view(spark, d, "v_salaries"), view(spark, d, "v_cap"), view(spark, d, "v_players"), cut(role(spark, d)), LONG_SPLIT)
+        view(spark, d, "v_salaries"), view(spark, d, "v_cap"), view(spark, d, "v_players"), role_table, LONG_SPLIT)
 
 
 _SALARY_OUT = ["player_name", "season_label", "season_start_year", "team", "team_id", "player_id", "position", "split", "salary_usd_was_missing"]
@@ -157,7 +158,8 @@ def _(spark, d):
 
 
 def lagged(spark, d):
-    return builders.build_lagged_salary(cut(salary(spark, d)), cut(role(spark, d)), 1998, 1999, 2000)
+    role_table = cut(role(spark, d))
+    return builders.build_lagged_salary(cut(salary(spark, d, role_table)), role_table, 1998, 1999, 2000)
 
 
 @query("prepare_salary_modeling", f"select player_name, season_label, split, salary_cap_share, age from (select *, {split_sql('season_label', LONG_SPLIT)} as sp from salary) s where sp <> 'ignore'",

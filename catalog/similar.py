@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.gold import _ROLE_ONLY, role, salary  # noqa: F401 - _ROLE_ONLY documents the shared columns
+from catalog.gold import role, salary
 from catalog.registry import query
 from catalog.views import DERIVED, table, view
 from formline.config import ROLE_DIMENSIONS, SIMILARITY_FEATURES
@@ -24,7 +24,8 @@ QUERIES = [
 
 
 def base(spark, d):
-    return similarity.similarity_base(cut(role(spark, d)), cut(salary(spark, d)))
+    role_table = cut(role(spark, d))
+    return similarity.similarity_base(role_table, cut(salary(spark, d, role_table)))
 
 
 def _num(x) -> str:
