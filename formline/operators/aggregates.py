@@ -107,7 +107,7 @@ def recent_form(
     rates = {"pts": "points", "ast": "assists", "reb": "rebounds", **(sums or {})}
     tail = tail_per_key(logs.dropna(subset=list(keys)), keys, order, n)
     index = {f"__i_{s}": ("count", F.col(c)) for s, c in slopes.items()}
-    tail = over_history(tail, keys, order, Frames(running=index))
+    tail = over_history(tail, keys, order, Frames(running=index), hot=None)  # at most n rows per group
     minutes = F.coalesce(F.sum("minutes"), F.lit(0.0))
     return tail.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("recent_games_count"),
@@ -155,9 +155,8 @@ def consistency_stats(
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows and share per label, NULL included."""
-    rows = df.agg(F.count(F.lit(1))).scalar()
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.withColumn("row_pct", F.col("rows") / rows)
+    return counts.withColumn("row_pct", F.col("rows") / counts.agg(F.sum("rows")).scalar())
 
 
 def target_summary(df: DataFrame, columns: Sequence[str], fractions: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:

@@ -13,6 +13,7 @@ from formline.operators.frames import union_all
 from formline.operators.joins import lookup, merge_signal_tables
 from formline.operators.ordered import Frames, over_history
 from formline.operators.quantiles import global_quantiles
+from formline.session import cut
 
 
 def feature_pairs(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
@@ -44,7 +45,7 @@ def spearman(pairs: DataFrame, key: str) -> DataFrame:
 
     Equal pairs are counted first; ranks come from running counts over distinct values.
     """
-    counted = pairs.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(pairs.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("n")))
 
     def ranks(axis: str) -> DataFrame:
         values = counted.groupBy(key, axis).agg(F.sum("n").alias("__c"))
@@ -53,9 +54,9 @@ def spearman(pairs: DataFrame, key: str) -> DataFrame:
         return run.select(key, axis, rank.alias(f"r{axis}"))
 
     both = lookup(lookup(counted, ranks("x"), [key, "x"]), ranks("y"), [key, "y"])
-    # centre on a value near the mean rank for stable sums
+    # ranks are centred on their mean for stable sums
     n = F.col("n")
-    mid = pairs.groupBy(key).agg(((F.count(F.lit(1)) + 1) / 2).alias("__mid"))
+    mid = counted.groupBy(key).agg(((F.sum("n") + 1) / 2).alias("__mid"))
     centred = lookup(both, mid, [key]).withColumns({"rx": F.col("rx") - F.col("__mid"), "ry": F.col("ry") - F.col("__mid")})
     sums = centred.groupBy(key).agg(
         F.sum(n * F.col("rx") * F.col("ry")).alias("sxy"), F.sum(n * F.col("rx") * F.col("rx")).alias("sxx"),

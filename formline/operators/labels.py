@@ -15,8 +15,10 @@ from formline.functions.scalars import bucketize, clamp, interaction, number, ro
 from formline.operators.aggregates import consistency_stats, segment_median
 from formline.operators.joins import future_lookup_left, join_same
 from formline.operators.ordered import Frames, over_history
+from formline.operators.quantiles import group_quantiles
 from formline.operators.topk import latest_per_key
-from formline.operators.windows import group_std, last_std, robust_z, shifted
+from formline.operators.windows import last_std, robust_z, shifted
+from formline.session import cut
 
 HISTORY_KEYS = ("player_id", "season")
 HISTORY_ORDER = ("as_of_date", "game_id")
@@ -133,7 +135,8 @@ def consistency_signals(
     keys: Sequence[str] = ("player_id", "season", "team_id"), stats: Sequence[str] = FORM_STATS,
 ) -> DataFrame:
     """Distribution per group, volatility z within the season, and a label."""
-    base = consistency_stats(df, keys, stats, config.min_games, config.quantiles)
+    # one row per group: written once, since the z-scores read it several times
+    base = cut(consistency_stats(df, keys, stats, config.min_games, config.quantiles))
     scored = robust_z(base, ["season"], {f"{s}_cv": f"{s}_volatility_z" for s in stats})
     scores = {f"{s}_consistency_score": clamp(-F.col(f"{s}_volatility_z"), -3, 3) for s in stats}
     overall = row_mean([f"{s}_volatility_z" for s in stats])
@@ -315,8 +318,6 @@ def season_average(stat: str) -> Column:
 
 
 def train_median_baseline(df: DataFrame, target: str, train: Column, name: str = "prediction") -> DataFrame:
-    from formline.operators.quantiles import group_quantiles
-
     median = group_quantiles(df.filter(train), [], [target], [0.5]).select(F.col(f"{target}__q")[0]).scalar()
     return df.withColumn(name, median)
 

@@ -71,7 +71,7 @@ def classification_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5
     auc = ranked.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("__pos") * below), F.sum("__pos") * F.sum("__neg")).alias("roc_auc")
     )
-    return join_same(base, auc, keys).drop("__all")
+    return join_same(base, auc, keys, None).drop("__all")
 
 
 def range_metrics(
@@ -123,7 +123,7 @@ def interval_metrics(df: DataFrame, y: str, low: str, mid: str, high: str, by: S
         F.avg("__width").alias("avg_interval_width"),
     )
     medians = group_quantiles(rows, by, ["__width"], [0.5])
-    joined = join_same(out, medians, by)
+    joined = join_same(out, medians, by, None)
     return joined.withColumn("median_interval_width", F.col("__width__q")[0]).drop("__width__q")
 
 

@@ -1,4 +1,4 @@
-"""Data-quality checks as two aggregate passes: one over columns, one over keys."""
+"""Data-quality checks as plain aggregates over columns, keys and split labels."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from formline.config import QualityConfig
 from formline.functions.scalars import number
 from formline.operators.aggregates import value_counts
-from formline.operators.frames import numeric_columns, union_all
+from formline.operators.frames import union_all
+from formline.session import cut
 
 _ISSUES = "severity string, check string, column string, message string"
 
@@ -27,17 +28,20 @@ def missing_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     present = [c for c in columns if c in df.columns]
     kinds = dict(df.dtypes)
-    rows = df.agg(F.count(F.lit(1))).scalar()
     spark = df.sparkSession
     names = spark.createDataFrame([(c, kinds.get(c, "MISSING_COLUMN")) for c in columns], "column string, dtype string")
     if not present:
+        rows = df.agg(F.count(F.lit(1))).scalar()
         return names.select("column", "dtype", rows.alias("missing_count"), F.lit(1.0).alias("missing_pct"), F.lit(0).cast("long").alias("n_unique"))
     long = df.select(*[number(c).cast("string").alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("string").alias(c) for c in present])
     counted = long.unpivot([], present, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     per = counted.groupBy("column").agg(
         F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("observed"), F.count("value").alias("n_unique"),
+        F.sum("n").alias("__rows"),
     )
-    out = names.join(per, "column", "left").withColumn("__rows", rows)
+    out = names.join(per, "column", "left")
+    if len(present) < len(columns):
+        out = out.withColumn("__rows", F.coalesce("__rows", per.agg(F.max("__rows")).scalar()))
     missing = F.col("__rows") - F.coalesce("observed", F.lit(0))
     share = F.when(F.col("dtype") == "MISSING_COLUMN", 1.0).otherwise(F.try_divide(missing, F.col("__rows")))
     return out.select("column", "dtype", missing.alias("missing_count"), share.alias("missing_pct"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
@@ -88,12 +92,15 @@ def validate_training(df: DataFrame, config: QualityConfig) -> tuple[DataFrame,
     wanted = {*config.required, *config.features, *config.targets, config.split}
     absent = missing_columns(df, wanted)
     frames = [spark.createDataFrame([("error", "required_column", c, f"Missing required column: {c}") for c in absent], _ISSUES)]
+    values = list(dict.fromkeys([*config.features, *config.targets]))
+    missing = cut(missing_summary(df, values))
+    # audit tables are a few rows each: materialised once, read by the checks and the caller
     audit = {
-        "split_summary": split_summary(df, config.split),
-        "feature_missing_summary": missing_summary(df, config.features),
-        "target_missing_summary": missing_summary(df, config.targets),
-        "numeric_finite_summary": finite_summary(df, [*config.features, *config.targets]),
-        "duplicate_key_summary": duplicate_keys(df, config.keys),
+        "split_summary": cut(split_summary(df, config.split)),
+        "feature_missing_summary": missing.filter(F.col("column").isin(*config.features)),
+        "target_missing_summary": missing.filter(F.col("column").isin(*config.targets)),
+        "numeric_finite_summary": cut(finite_summary(df, values)),
+        "duplicate_key_summary": cut(duplicate_keys(df, config.keys)),
     }
 
     def issues(rows: DataFrame, severity: str, check: str, column, message) -> DataFrame:

@@ -6,15 +6,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.config import ROLE_DIMENSIONS, SIMILARITY_FEATURES
 from formline.functions.scalars import number, season_start_year
 from formline.operators.imputing import fill_median, standardize
-from formline.operators.joins import join_same
 from formline.operators.quantiles import group_quantiles
 from formline.operators.topk import first_rows, top_n
+from formline.session import cut
 
 _TIES = ("player_id", "team_id")
 
@@ -93,10 +93,10 @@ def find_replacements_batch(
     used = [f for f in features if f in base.columns]
     found = resolve_targets(base, queries, ties)
     context = ["player_id", "player_name", "season", "position", "salary_cap_share", "age"]
-    targets = found.select(
+    targets = cut(found.select(
         "query_id", "__q", *[F.col(c).alias(f"t_{c}") for c in context],
         *[F.col(f).cast("double").alias(f"t__{f}") for f in used],
-    )
+    ))
     if strict:
         missing = set(range(len(queries))) - {r["query_id"] for r in targets.select("query_id").take(len(queries))}
         if missing:
@@ -123,7 +123,7 @@ def find_replacements_batch(
         targets.select("query_id", *[F.col(f"t__{f}").alias(f) for f in used])
     )
     medians = group_quantiles(cells, ["query_id"], used, [0.5])
-    medians = medians.select("query_id", *[F.coalesce(F.col(f"{f}__q")[0], F.lit(0.0)).alias(f"m__{f}") for f in used])
+    medians = cut(medians.select("query_id", *[F.coalesce(F.col(f"{f}__q")[0], F.lit(0.0)).alias(f"m__{f}") for f in used]))
     filled = cells.join(F.broadcast(medians), "query_id").select(
         "query_id", *[F.coalesce(f, F.col(f"m__{f}")).alias(f) for f in used]
     )
@@ -142,8 +142,6 @@ def find_replacements_batch(
     widest = max(query.top_n for query in queries)
     ranked = first_rows(scored, ["query_id"], order, widest)
     if any(query.top_n != widest for query in queries):
-        from pyspark.sql import Window
-
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
         ranked = ranked.withColumn("__n", place).filter(F.col("__n") <= F.col("__q.top_n")).drop("__n")
     shown = [c for c in (

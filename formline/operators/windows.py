@@ -160,14 +160,11 @@ def trajectory(
     it does not change when all numbers shift, so a running count serves as index.
     """
     bounded: dict[str, Make] = {}
-    running: dict[str, tuple[str, Column]] = {}
     for c in lag_columns:
         bounded |= {f"{c}_lag_{i}": shifted(c, i) for i in range(lags)}
-    first = over_history(
-        df, keys, order,
-        Frames(bounded, back=lags - 1 if lag_columns else 0,
-               running=running | {f"__i_{c}": ("count", F.col(c)) for c in slope_columns}),
-    )
+    hot = hot_groups(df, keys)
+    index = {f"__i_{c}": ("count", F.col(c)) for c in slope_columns}
+    first = over_history(df, keys, order, Frames(bounded, back=lags - 1 if lag_columns else 0, running=index), hot)
     if not slope_columns:
         return first
 
@@ -180,7 +177,7 @@ def trajectory(
         return make
 
     slopes = {f"{c}_slope_{n}yr": slope(c) for c in slope_columns}
-    out = over_history(first, keys, order, Frames(slopes, back=n - 1))
+    out = over_history(first, keys, order, Frames(slopes, back=n - 1), hot)
     return out.drop(*[f"__i_{c}" for c in slope_columns])
 
 
@@ -206,22 +203,23 @@ def robust_z(df: DataFrame, keys: Sequence[str], values: Mapping[str, str]) -> D
     """Robust z-scores: ``values`` maps a column to its output name.
 
     0.6745 (x - median) / MAD; without a MAD (x - mean) / population std; without spread 0.
-    Two exact-quantile aggregates per group replace two group-wide windows.
+    Two aggregates per group (medians with moments, then deviations) replace group-wide windows.
     """
     columns = list(values)
     hot = hot_groups(df, keys)
-    mids = group_quantiles(df, keys, columns, [0.5], hot)
-    mids = mids.select(*keys, *[F.col(f"{c}__q")[0].alias(f"__med_{c}") for c in columns])
+    moments = [f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("std", F.stddev_pop))]
+    if hot is None:
+        mids = df.groupBy(*keys).agg(*moments, *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"__med_{c}") for c in columns])
+    else:
+        mids = group_quantiles(df, keys, columns, [0.5], hot)
+        mids = mids.select(*keys, *[F.col(f"{c}__q")[0].alias(f"__med_{c}") for c in columns])
+        mids = join_same(mids, df.groupBy(*keys).agg(*moments), keys, None)
     centred = join_same(df, mids, keys, hot).withColumns(
         {f"__dev_{c}": F.abs(F.col(c) - F.col(f"__med_{c}")) for c in columns}
     )
     mads = group_quantiles(centred, keys, [f"__dev_{c}" for c in columns], [0.5], hot)
     mads = mads.select(*keys, *[F.col(f"__dev_{c}__q")[0].alias(f"__mad_{c}") for c in columns])
-    moments = df.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"__avg_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"__std_{c}") for c in columns],
-    )
-    out = join_same(join_same(centred, mads, keys, hot), moments, keys, hot)
+    out = join_same(centred, mads, keys, hot)
     for c, name in values.items():
         mad, std = F.col(f"__mad_{c}"), F.col(f"__std_{c}")
         flat = F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise(F.try_divide(F.col(c) - F.col(f"__avg_{c}"), std))
