@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.aggregate import LONG_ORDER, RECENT_SQL, SUMMARY_SQL
@@ -18,6 +19,17 @@ def ratio(c: str) -> str:
     return f"case when {c} <= 1.5 then {c} else {c} / 100 end"
 
 
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def gold_table(spark, d: str, name: str, build) -> DataFrame:
+    """A gold table written once per application; later queries read it, as after a gold build."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _BUILT:
+        _BUILT[key] = cut(build())
+    return _BUILT[key]
+
+
 # --- role ---------------------------------------------------------------------------------
 _RATES = ", ".join(f"{ratio(c)} as {c}" for c in RATE_COLUMNS)
 _FILLS = ", ".join(f"coalesce({c}, (select median({c}) from role_raw)) as {c}" for c in ROLE_NUMERIC)
@@ -101,11 +113,17 @@ DERIVED["salary"] = (("salary_raw",), f"""
            salary_usd is null as salary_usd_was_missing, {split_sql('season_label', LONG_SPLIT)} as split from salary_raw""")
 
 
-def salary(spark, d, role_table=None):
-    """Salary table over the role table, which is materialised first as the gold build does."""
-    role_table = cut(role(spark, d)) if role_table is None else role_table
+def salary(spark, d):
     return builders.build_salary_training(
-        view(spark, d, "v_salaries"), view(spark, d, "v_cap"), view(spark, d, "v_players"), role_table, LONG_SPLIT)
+        view(spark, d, "v_salaries"), view(spark, d, "v_cap"), view(spark, d, "v_players"), gold_role(spark, d), LONG_SPLIT)
+
+
+def gold_role(spark, d):
+    return gold_table(spark, d, "role", lambda: role(spark, d))
+
+
+def gold_salary(spark, d):
+    return gold_table(spark, d, "salary", lambda: salary(spark, d))
 
 
 _SALARY_OUT = ["player_name", "season_label", "season_start_year", "team", "team_id", "player_id", "position", "split", "salary_usd_was_missing"]
@@ -122,7 +140,7 @@ def _(spark, d):
       select player_name, season_label, team, position, salary_usd, salary_cap_usd, case when salary_cap_share <= 1.5 then salary_cap_share else salary_cap_share / 100 end as salary_cap_share, age from salary) s
     where salary_usd > 0 and salary_cap_usd > 0 and salary_cap_share between 0 and 1.5""", doubles="salary_usd salary_cap_share age", digits=3, needs="salary")
 def _(spark, d):
-    out = builders.clean_salary(cut(salary(spark, d)))
+    out = builders.clean_salary(gold_salary(spark, d))
     return out.select("player_name", "season_label", "team", "position", "salary_usd", "salary_cap_share", "age")
 
 
@@ -158,14 +176,13 @@ def _(spark, d):
 
 
 def lagged(spark, d):
-    role_table = cut(role(spark, d))
-    return builders.build_lagged_salary(cut(salary(spark, d, role_table)), role_table, 1998, 1999, 2000)
+    return builders.build_lagged_salary(gold_salary(spark, d), gold_role(spark, d), 1998, 1999, 2000)
 
 
 @query("prepare_salary_modeling", f"select player_name, season_label, split, salary_cap_share, age from (select *, {split_sql('season_label', LONG_SPLIT)} as sp from salary) s where sp <> 'ignore'",
        doubles="salary_cap_share age", digits=5, needs="salary")
 def _(spark, d):
-    out = builders.prepare_salary_modeling(cut(salary(spark, d)), ["age", "minutes"], LONG_SPLIT)
+    out = builders.prepare_salary_modeling(gold_salary(spark, d), ["age", "minutes"], LONG_SPLIT)
     return out.select("player_name", "season_label", "split", "salary_cap_share", "age")
 
 
@@ -273,6 +290,16 @@ def _(spark, d):
     return long_term(spark, d).select("player_id", "anchor_season", "team_id", "position", "split", "years_in_league", "recent_games_count", *_LT_DOUBLES)
 
 
+@query("long_term_training_by_row", f"""
+    select player_id, season as anchor_season, split, games_played, games_played_h1, games_played_h2, active_h2, low_availability_h2
+    from (select *, lead(games_played, 1) over w as games_played_h1, lead(games_played, 2) over w as games_played_h2, (lead(games_played, 2) over w > 0)::int as active_h2,
+                 (lead(games_played, 2) over w <= 20)::int as low_availability_h2, {split_sql('season', LONG_SPLIT)} as split
+          from anchors window w as (partition by player_id order by season_start_year)) x where active_h2 is not null and split <> 'ignore'""", needs="anchors")
+def _(spark, d):
+    return long_term(spark, d, "row").select(
+        "player_id", "anchor_season", "split", "games_played", "games_played_h1", "games_played_h2", "active_h2", "low_availability_h2")
+
+
 @query("minutes_heuristic", """
     select player_id, season, l0 as last_mpg, 0.6 * l0 + 0.3 * coalesce(l1, l0) + 0.1 * coalesce(l2, l1, l0) as weighted,
            (0.6 * l0 + 0.3 * coalesce(l1, l0) + 0.1 * coalesce(l2, l1, l0)) * case when age > 30 then 1 - least(age - 30, 8) * 0.025 else 1 end as decayed

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.gold import role, salary
+from catalog.gold import gold_role, gold_salary
 from catalog.registry import query
 from catalog.views import DERIVED, table, view
 from formline.config import ROLE_DIMENSIONS, SIMILARITY_FEATURES
 from formline.operators import metrics, similarity
 from formline.operators.similarity import Query
-from formline.session import cut
 
 DERIVED["sim_base"] = (("role", "salary"), """
     select r.* exclude (rn0), s.salary_usd, s.salary_cap_share, s.team_id as salary_team_id
@@ -24,8 +23,7 @@ QUERIES = [
 
 
 def base(spark, d):
-    role_table = cut(role(spark, d))
-    return similarity.similarity_base(role_table, cut(salary(spark, d, role_table)))
+    return similarity.similarity_base(gold_role(spark, d), gold_salary(spark, d))
 
 
 def _num(x) -> str:
@@ -113,7 +111,7 @@ def _cosine_sql() -> str:
 
 @query("cosine_similar", _cosine_sql(), doubles="similarity_score", needs="role")
 def _(spark, d):
-    return similarity.cosine_similar(cut(role(spark, d)), "Supplier#5", weights=WEIGHTS).select("player_id", "season", "team_id", "similarity_score")
+    return similarity.cosine_similar(gold_role(spark, d), "Supplier#5", weights=WEIGHTS).select("player_id", "season", "team_id", "similarity_score")
 
 
 @query("cosine_similar_vectors", """
