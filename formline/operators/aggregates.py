@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.config import RECENT_GAMES, REGULAR_SEASON_GAMES, SEASON_STAT_COLUMNS
-from formline.functions.scalars import clamp, number, per_unit, rate_stats, row_mean, safe_divide, season_start_year
+from formline.functions.scalars import clamp, number, per_unit, rate_stats, row_mean, season_start_year
 from formline.operators.joins import join_same, lookup
 from formline.operators.ordered import Frames, hot_groups, over_history
 from formline.operators.quantiles import group_quantiles

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions.scalars import number, row_mean
-from formline.operators.frames import union_all
 from formline.operators.joins import lookup, merge_signal_tables
 from formline.operators.ordered import Frames, over_history
 from formline.operators.quantiles import global_quantiles

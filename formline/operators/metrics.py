@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formline.config import STATS, STAT_TARGETS, SPLITS
+from formline.config import STATS, STAT_TARGETS
 from formline.functions.scalars import clamp, row_mean
 from formline.operators.frames import long_by_stat
-from formline.operators.joins import attach_test_metrics, join_same, lookup
+from formline.operators.joins import attach_test_metrics, join_same
 from formline.operators.ordered import Frames, over_history
 from formline.operators.quantiles import group_quantiles
 from formline.operators.topk import best_per_group, first_rows

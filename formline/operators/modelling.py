@@ -96,8 +96,8 @@ def fit_by_segment(
     Segments are a handful of labels; each slice is scored by its model and the slices unioned.
     """
     train = df.filter(F.col(split) == "train")
-    counts = {r[segment]: r["n"] for r in train.groupBy(segment).agg(F.count(F.lit(1)).alias("n")).collect()}
-    large = sorted(s for s, n in counts.items() if s is not None and n >= min_rows)
+    counts = train.dropna(subset=[segment]).groupBy(segment).agg(F.count(F.lit(1)).alias("n"))
+    large = sorted(r[segment] for r in counts.filter(F.col("n") >= min_rows).collect())
     overall = fit(train, features, build())
     parts = []
     for s in large:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from formline.functions.scalars import number, safe_divide
 from formline.operators.ordered import Frames, hot_groups, over_history
 from formline.operators.quantiles import group_quantiles
 from formline.operators.joins import join_same

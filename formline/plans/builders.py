@@ -14,7 +14,7 @@ from formline.config import (
 )
 from formline.functions.scalars import (
     age_at, clip, coarse_age, name_key, normalize_code, number, parse_matchup, parse_money, percent_to_ratio,
-    position_from_flags, season_age, season_label_from_end_year, safe_divide, standardize_position,
+    position_from_flags, season_age, safe_divide, standardize_position,
 )
 from formline.operators.aggregates import estimated_possessions, recent_form, season_summary
 from formline.operators.frames import (
@@ -29,7 +29,7 @@ from formline.operators.labels import (
 )
 from formline.operators.splits import assign_split, assign_split_year
 from formline.operators.topk import dedup_keep
-from formline.operators.windows import career_cumulative, form_features, lag_features, rest_days, trajectory
+from formline.operators.windows import career_cumulative, form_features, rest_days, trajectory
 from formline.session import cut
 from formline.sources.tables import (
     Layers, load_game_logs, load_gold, load_players, load_salaries, load_salary_cap, load_season_stats, require_columns, write_gold,
