@@ -129,9 +129,7 @@ def rest_days(df: DataFrame, keys: Sequence[str], order: Sequence[str], date: st
     """Whole days since the entity's previous row."""
     made = {"__before": shifted(date, 1)}
     out = over_history(df, keys, order, Frames(bounded=made, back=1))
-    whole_days = F.datediff(F.col(date), F.col("__before"))
-    late = F.date_format(F.col(date), "HHmmssSSSSSS") < F.date_format(F.col("__before"), "HHmmssSSSSSS")
-    days = whole_days - F.when(late, 1).otherwise(0)
+    days = F.timestamp_diff("DAY", F.col("__before"), F.col(date)).cast("int")
     return out.withColumn("rest_days", days).drop("__before")
 
 
