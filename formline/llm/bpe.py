@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from formline.llm.common import pack, pack_strings, pick, pieces, unpack, unpack_strings
-from formline.session import cut
+from formline.llm.common import cut_by, few_rows, pack, pack_strings, pick, pieces, unpack, unpack_strings
 
 #: A chunk of documents is closed at this many characters.
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 8 << 20
 #: Ids that one batch of decoded or encoded documents holds at most, long documents aside.
-BATCH_IDS = 4 << 20
+BATCH_IDS = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +77,7 @@ def encode(
             out += [(first + number, b, None, None, pack_strings(x)) for b, x in enumerate(lists) if x]
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in out], schema=arrow)
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for key, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                 words = find(text or "")
                 seen = [known.setdefault(w, len(known)) for w in words]
@@ -107,13 +106,9 @@ def encode(
             answers.append(pack(np.concatenate((np.array([len(found)], np.uint32), counts, *found))))
         return group.set_column(group.schema.get_field_index("payload"), "payload", pa.array(answers, pa.binary()))
 
-    def reassemble(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        answers, own = {}, None
-        for row in group.to_pylist():
-            if row["bucket"] < 0:
-                own = row
-            else:
-                answers[row["bucket"]] = unpack(row["payload"])
+    def reassemble(docs_of: pa.Table, answers_of: pa.Table) -> pa.Table:
+        own = docs_of.to_pylist()[0]
+        answers = {r["bucket"]: unpack(r["payload"]) for r in answers_of.to_pylist()}
         sequence = unpack(own["payload"])
         n = int(sequence[0])
         place, codes = sequence[1 : n + 1], sequence[n + 1 :]
@@ -127,7 +122,7 @@ def encode(
             at += len(parts[-1])
         pool = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
         keys, ends = own["ids"], np.concatenate(([0], np.cumsum(own["lens"], dtype=np.int64)))
-        lo = 0
+        lo, out = 0, []
         while lo < len(keys):
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH_IDS // 2, "right")) - 1)
             of = codes[ends[lo] : ends[hi]]
@@ -136,26 +131,21 @@ def encode(
             index = np.repeat(starts[of] - upto[:-1], many) + np.arange(upto[-1])
             offsets = pa.array(upto[ends[lo : hi + 1] - ends[lo]], pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(pool[index], pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], out_arrow.field("id").type), lists], names=["id", "ids"])
+            out.append(pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], out_arrow.field("id").type), lists], names=["id", "ids"]).cast(out_arrow))
             lo = hi
+        return pa.Table.from_batches(out, schema=out_arrow)
 
-    chunks = cut(rows.mapInArrow(split, schema))
+    # stored by chunk: of the two sides that meet again, only the answers are shuffled
+    chunks = cut_by(rows.mapInArrow(split, schema), "chunk", pieces(docs, 8 << 20))
     answered = chunks.filter("bucket >= 0").select("chunk", "bucket", "payload").groupBy("bucket").applyInArrow(
         encode_bucket, "chunk long, bucket int, payload binary"
     )
-    both = chunks.filter("bucket < 0").unionByName(answered, allowMissingColumns=True)
-    return both.groupBy("chunk").applyInArrow(reassemble_whole(reassemble, out_arrow), out_schema).select(
+    documents = chunks.filter("bucket < 0").select("chunk", "ids", "lens", "payload")
+    return documents.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(reassemble, out_schema).select(
         F.col("id").alias(id_col), "ids"
     )
 
 
-def reassemble_whole(parts, schema: pa.Schema):
-    def run(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([b.cast(schema) for b in parts(group)], schema=schema)
-
-    return run
-
-
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, ids_col, bytes binary): each row's ids joined with the token-byte table, in order.
 
