@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bpe, contamination, ordermin, sharding
-from formline.llm.common import table
+from formline.llm import bpe, contamination, langid, ordermin, quality_model, sharding
+from formline.llm.common import remainder, table
+from formline.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +31,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(remainder(F.col("doc_id"), 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @query
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.compare_with_next(table(spark, sf_dir, "documents"))
@@ -46,6 +55,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    described = cut(quality_model.features(table(spark, sf_dir, "documents")))
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = quality_model.fit(described.join(labels, "id"))
+    return quality_model.score(described, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
