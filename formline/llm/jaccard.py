@@ -37,7 +37,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     data, bounds = bytes_of(column)
     for lo, hi in slices(bounds):
         found = words(data, bounds[lo : hi + 1], NOT_SPACE, lower=True)
-        whole, _ = grams(found, n)
+        whole, _ = grams(found.hashes, found.rows, n)
         for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
             if b - a >= n:
                 yield np.unique(whole[a : b - n + 1])

@@ -94,11 +94,10 @@ def words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray, lower: bool
     return Words(base, rows, starts, ends, _hashes(base, starts, ends - starts), first)
 
 
-def grams(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the ``n`` words from each place on, and whether they all lie in one row."""
-    h, count = found.hashes, max(0, len(found.hashes) - n + 1)
+    count = max(0, len(hashes) - n + 1)
     out = np.full(count, n, np.uint64)
     for i in range(n):
-        out = out * _BASE + h[i : i + count]
-    same = found.rows[:count] == found.rows[n - 1 : n - 1 + count] if count else np.empty(0, bool)
-    return mixed(out), same
+        out = out * _BASE + hashes[i : i + count]
+    return mixed(out), rows[:count] == rows[n - 1 : n - 1 + count]
