@@ -51,11 +51,18 @@ def broadcast_bytes(spark: SparkSession) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
+#: Paths and tables written by ``cut`` and ``cut_by`` in this process, in order; ``discard`` takes from it.
+MADE: list[str] = []
+_TABLE = "table:"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is named."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only in local mode, where it is shared by nature."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="formline-ckpt-"))
     return context.getCheckpointDir()
 
@@ -69,4 +76,25 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/formline-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Materialise as a warehouse table in hash buckets of ``key``: grouping by it needs no shuffle."""
+    name = f"formline_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    MADE.append(_TABLE + name)
+    return df.sparkSession.table(name)
+
+
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete what ``cut`` and ``cut_by`` wrote, once no DataFrame that reads it is needed."""
+    for entry in made:
+        if entry.startswith(_TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS {entry.removeprefix(_TABLE)}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(entry)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if entry in MADE:
+            MADE.remove(entry)
