@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from formline.llm.common import cut_by, few_rows, pack, pack_strings, pick, pieces, unpack, unpack_strings
+from formline.llm.common import few_rows, pack, pack_strings, pick, pieces, unpack, unpack_strings
+from formline.session import cut_by
 
 #: A chunk of documents is closed at this many characters.
 CHUNK_CHARS = 8 << 20

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +32,6 @@ def pieces(df: DataFrame, each: int, least: int = 64) -> int:
     return max(least, -(-plan_bytes(df) // each))
 
 
-def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Materialise as a table of the warehouse in hash buckets of ``key``: grouping by it needs no shuffle."""
-    name = f"formline_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -163,11 +163,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, n: int, perc
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, item, component_id) of every row: the smallest id that links reach.
+    """(id_col, row, n_shingles, component_id, kept) of every row: the smallest id that links reach.
 
     Two texts link when 100 * common >= ``percent`` * union of their n-gram sets. A missing or empty text has no
     n-gram and links with nothing; its component is its own id. Repeated rows link as equal texts do. A missing
-    id belongs to its group but is never the smallest.
+    id belongs to its group but is never the smallest. ``row`` is a hash of id and text, the same for rows that
+    repeat; ``kept`` marks the row of a group that has the smallest id, or, among equal ids, the smallest hash.
     """
     rows = docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(id_col), quoted(text_col)).alias("row"), quoted(text_col).alias("text"))
     described, classes = _describe(rows, n, docs.schema[id_col].dataType)
@@ -178,10 +179,11 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         lambda pairs: _verified(pairs, rows, places, n, percent),
     )
     group = components(links).withColumnRenamed("id", "item")
-    smallest = items.groupBy("item").agg(F.min("id").alias("least"))
-    named = cut(smallest.join(group, "item", "left").withColumn("component", F.coalesce("component", "item")))
-    heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_item = named.select("item", "component").join(heads, "component").select("item", "component_id")
+    head = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("row").alias("row")))
+    named = cut(items.groupBy("item").agg(head.alias("head")).join(group, "item", "left").withColumn("component", F.coalesce("component", "item")))
+    heads = named.groupBy("component").agg(F.min("head").alias("head"))
+    of_item = named.select("item", "component").join(heads, "component").select("item", "head")
     return described.join(of_item, "item", "left").select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "item", F.coalesce("component_id", "id").alias("component_id")
+        F.col("id").alias(id_col), "row", F.col("size").alias("n_shingles"), F.coalesce("head.id", "id").alias("component_id"),
+        F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept"),
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bpe, contamination, jaccard, langid, lines, ordermin, phrases, quality_model, sharding
+from formline.llm import bpe, contamination, jaccard, langid, lines, ordermin, phrases, quality_model, sharding, wrapper
 from formline.llm.common import remainder, table
 from formline.session import cut
 
@@ -89,3 +89,8 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
