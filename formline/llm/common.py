@@ -27,9 +27,21 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[quoted(source).alias(name) for name, source in columns.items()])
 
 
-def pieces(df: DataFrame, each: int, least: int = 64) -> int:
-    """Number of pieces of about ``each`` bytes by the planner's size; results never depend on it."""
-    return max(least, -(-plan_bytes(df) // each))
+#: Planner sizes from here on mean that nothing is known about a source.
+UNKNOWN_BYTES = 1 << 60
+
+
+#: Pieces made of any table, however small.
+LEAST_PIECES = 64
+
+
+def pieces(df: DataFrame, each: int) -> int:
+    """Number of pieces of about ``each`` bytes by the planner's size; results never depend on it.
+
+    Where the planner knows no size, a few pieces for each partition.
+    """
+    size = plan_bytes(df)
+    return max(LEAST_PIECES, -(-size // each) if size < UNKNOWN_BYTES else 4 * df.rdd.getNumPartitions())
 
 
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
