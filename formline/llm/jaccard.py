@@ -14,18 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from formline.llm.common import pack, quoted, unpack
+from formline.llm.common import quoted
 from formline.llm.linking import components, linked_groups
 from formline.llm.tokens import NOT_SPACE, bytes_of, grams, mixed, slices, words
 from formline.session import cut
 
-#: Cells of the frequency table, and slices it is summed in. More cells tell frequencies apart in larger corpora.
-TABLE_BITS, TABLE_SLICES = 22, 64
+#: Cells of the frequency table (a byte each), and slices it is summed in. More cells tell frequencies apart in
+#: larger corpora; they only decide how many items meet, never the result.
+TABLE_BITS, TABLE_SLICES = 26, 256
 #: Ids up to which a set of ids is broadcast (8 bytes each); above, the join shuffles.
 BROADCAST_IDS = 1 << 20
 #: Hash ranges of the suffix filter, as bits.
@@ -56,8 +58,8 @@ def _item(shingles: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _describe(rows: DataFrame, n: int, id_type: T.DataType) -> tuple[DataFrame, np.ndarray]:
-    """(id, row, size, item) of every document, and the frequency class of each cell of the table."""
+def _describe(rows: DataFrame, n: int, id_type: T.DataType) -> tuple[DataFrame, bytes]:
+    """(id, row, size, item) of every document, and the compressed frequency class of each cell of the table."""
     schema = T.StructType([
         T.StructField("id", id_type), T.StructField("row", T.LongType()), T.StructField("size", T.LongType()),
         T.StructField("item", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType()),
@@ -65,41 +67,43 @@ def _describe(rows: DataFrame, n: int, id_type: T.DataType) -> tuple[DataFrame,
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.uint32)
+        table = np.zeros(1 << TABLE_BITS, np.uint8)  # counts up to 255 for each task
         for batch in batches:
             sizes, items = [], []
             for s in shingle_sets(batch["text"], n):
-                np.add.at(table, (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.uint32(1))
+                cell = (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                now = table[cell]
+                table[cell] = now + (now < 255)
                 sizes.append(len(s))
                 items.append(_item(s) if len(s) else None)
             nothing = pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["row"], pa.array(sizes, pa.int64()), pa.array(items, pa.int64()), *nothing], schema=arrow)
         for part, cells in enumerate(np.split(table, TABLE_SLICES)):
             if cells.any():
-                yield pa.RecordBatch.from_pylist([{"part": part, "counts": pack(cells)}], schema=arrow)
+                yield pa.RecordBatch.from_pylist([{"part": part, "counts": zstandard.compress(cells.tobytes(), 1)}], schema=arrow)
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros((1 << TABLE_BITS) // TABLE_SLICES, np.int64)
         for blob in group["counts"].to_pylist():
-            total += unpack(blob)
+            total += np.frombuffer(zstandard.decompress(blob), np.uint8)
         classes = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pa.table({"part": group["part"].slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
+        return pa.table({"part": group["part"].slice(0, 1), "classes": pa.array([zstandard.compress(classes.tobytes(), 1)], pa.binary())})
 
     found = cut(rows.mapInArrow(run, schema))
     summed = found.filter("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, classes binary")
     classes = np.zeros((TABLE_SLICES, (1 << TABLE_BITS) // TABLE_SLICES), np.uint8)
     for r in summed.collect():  # the table has a fixed size
-        classes[r["part"]] = np.frombuffer(r["classes"], np.uint8)
-    return found.filter("part is null").select("id", "row", "size", "item"), classes.reshape(-1)
+        classes[r["part"]] = np.frombuffer(zstandard.decompress(r["classes"]), np.uint8)
+    return found.filter("part is null").select("id", "row", "size", "item"), zstandard.compress(classes.tobytes(), 1)
 
 
-def prefix_rows(rows: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
+def prefix_rows(rows: DataFrame, classes: bytes, n: int, percent: int) -> DataFrame:
     """(key, id, size, place) of the prefix n-grams of every distinct set of each task."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        order_of = shared.value
+        order_of = np.frombuffer(zstandard.decompress(shared.value), np.uint8)
         for batch in batches:
             keys, ids, sizes, places = [], [], [], []
             for s in shingle_sets(batch["text"], n):

@@ -1,7 +1,7 @@
 """Groups of linked items from shared keys, without all pairs of a group.
 
-Items that share a key are candidates. Each item is first checked against one item of each of its keys (the
-smallest), which joins most of a large group by a star. Components are taken, and only items that share a key
+Items that share a key are candidates. Each item is first checked against one item of each of its keys (the one
+that meets most others, which is the original of a group of edited copies), which joins large groups by stars. Components are taken, and only items that share a key
 across different components are then checked with each other, so every link between two components is found
 while copies of one text never meet as all pairs. Components are exact: links inside a component add nothing.
 """
@@ -48,12 +48,15 @@ def linked_groups(
     with one key, given the prefixes of both sides' payload columns; it must hold for at least one common key of
     every linked pair. verify: keeps the linked ones of distinct pairs (a, b).
     """
-    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").drop("last")
-    dense = cut(keyed.join(shared, "key"))
-    pivots = dense.filter("id = pivot").select("key", *[F.col(c).alias(f"a_{c}") for c in payload]).dropDuplicates(["key"])
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("met"))
+    dense = cut(keyed.join(shared.filter("low < high").select("key", "met"), "key"))
     own = [F.col(c).alias(f"b_{c}") for c in payload]
-    star = dense.filter("id > pivot").select("key", F.col("pivot").alias("a"), F.col("id").alias("b"), *own).join(pivots, "key")
-    tried = cut(star.filter(may_link("a_", "b_")).select("a", "b").distinct())
+    degrees = dense.groupBy("id").agg(F.sum("met").alias("degree"))
+    hub = F.max(F.struct("degree", "id", *payload)).alias("hub")
+    hubs = dense.join(degrees, "id").groupBy("key").agg(hub).select("key", F.col("hub.id").alias("x"), *[F.col(f"hub.{c}").alias(f"a_{c}") for c in payload])
+    spokes = dense.select("key", F.col("id").alias("y"), *own).join(hubs, "key").filter((F.col("x") != F.col("y")) & may_link("a_", "b_"))
+    star = spokes.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    tried = cut(star.distinct())
     first = cut(verify(tried))
     group = components(first).withColumnRenamed("component", "c")
     rows = dense.select("key", "id", *payload).join(group, "id", "left").withColumn("c", F.coalesce("c", "id"))
