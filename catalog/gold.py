@@ -263,8 +263,8 @@ DERIVED["anchors"] = (("season_summary_v", "stats_first", "v_players"), """
     select *, points / estimated_possessions * 100 as pts_per_100, date_diff('day', birth_date, season_end_date) / 365.25 as age_at_anchor,
            sum(games_played) over w as career_games, sum(total_minutes) over w as career_minutes, row_number() over w as years_in_league
     from q window w as (partition by player_id order by season_start_year rows between unbounded preceding and current row)""")
-_HC, _HJ = horizon_sql("a", "anchors", horizons=(1, 2))
-_LT_H = [c for c in HORIZON if not c.endswith("_h3")]
+_HC, _HJ = horizon_sql("a", "anchors", horizons=(1, 2, 3))
+_LT_H = list(HORIZON)
 _LT_DOUBLES = ["age_at_anchor", "career_games", "career_minutes", "pts_per_100", "usage_pct_lag_0", "pts_per_36_lag_1", "total_minutes_lag_3", "pts_per_36_slope_3yr",
                "total_minutes_slope_3yr", "recent_pts_trend", "recent_pts_per_36", *_LT_H]
 _LT_SQL = f"""
@@ -276,10 +276,10 @@ _LT_SQL = f"""
          r as (select a.* exclude (i1), v.recent_games_count, v.recent_pts_trend, v.recent_pts_per_36, {_HC}, {split_sql('a.season', LONG_SPLIT)} as split
                from t a {_HJ} left join recent_v v on v.player_id = a.player_id and v.season = a.season)
     select player_id, season as anchor_season, team_id, position, split, years_in_league, recent_games_count, {', '.join(_LT_DOUBLES)} from r
-    where active_h1 is not null and active_h2 is not null and split <> 'ignore'"""
+    where active_h1 is not null and active_h2 is not null and active_h3 is not null and split <> 'ignore'"""
 
 
-def long_term(spark, d, mode="calendar", horizons=(1, 2)):
+def long_term(spark, d, mode="calendar", horizons=(1, 2, 3)):
     return builders.build_long_term_training(
         view(spark, d, "v_logs_long"), view(spark, d, "v_players"), view(spark, d, "v_season_stats"), LONG_SPLIT, mode, horizons,
         order=LONG_ORDER, sums={"fga": "fga"}, means={"true_shooting_pct": "true_shooting_pct"})
@@ -291,13 +291,13 @@ def _(spark, d):
 
 
 @query("long_term_training_by_row", f"""
-    select player_id, season as anchor_season, split, games_played, games_played_h1, games_played_h2, active_h2, low_availability_h2
-    from (select *, lead(games_played, 1) over w as games_played_h1, lead(games_played, 2) over w as games_played_h2, (lead(games_played, 2) over w > 0)::int as active_h2,
+    select player_id, season as anchor_season, split, games_played, games_played_h1, games_played_h2, games_played_h3, active_h2, low_availability_h2
+    from (select *, lead(games_played, 1) over w as games_played_h1, lead(games_played, 2) over w as games_played_h2, lead(games_played, 3) over w as games_played_h3, (lead(games_played, 2) over w > 0)::int as active_h2,
                  (lead(games_played, 2) over w <= 20)::int as low_availability_h2, {split_sql('season', LONG_SPLIT)} as split
-          from anchors window w as (partition by player_id order by season_start_year)) x where active_h2 is not null and split <> 'ignore'""", needs="anchors")
+          from anchors window w as (partition by player_id order by season_start_year)) x where games_played_h3 is not null and split <> 'ignore'""", needs="anchors")
 def _(spark, d):
     return long_term(spark, d, "row").select(
-        "player_id", "anchor_season", "split", "games_played", "games_played_h1", "games_played_h2", "active_h2", "low_availability_h2")
+        "player_id", "anchor_season", "split", "games_played", "games_played_h1", "games_played_h2", "games_played_h3", "active_h2", "low_availability_h2")
 
 
 @query("minutes_heuristic", """
@@ -331,15 +331,16 @@ def _(spark, d):
 
 
 @query("normalize_advanced", """
-    select p.player_id, upper(replace(p.player_name, '#', ' #')) as player_name, '2000-01' as season, case when s.player_id % 2 = 0 then 'BKN' else 'LAL' end as team_id, s.minutes,
+    select p.player_id, upper(replace(p.player_name, '#', ' #')) as player_name, s.season, case when s.team_id <> 'N' then s.team_id when s.player_id % 2 = 0 then 'BKN' else 'LAL' end as team_id, s.minutes,
            case when s.usage_pct <= 1.5 then s.usage_pct else s.usage_pct / 100 end as usage_pct
-    from v_season_stats s join v_players p on p.player_id = s.player_id where s.season = '2000-01' and s.team_id = 'N'""", doubles="minutes usage_pct", needs="v_season_stats v_players")
+    from v_season_stats s join v_players p on p.player_id = s.player_id""", doubles="minutes usage_pct", needs="v_season_stats v_players")
 def _(spark, d):
-    raw = view(spark, d, "v_season_stats").filter("season = '2000-01' and team_id = 'N'").select(
-        F.concat(F.lit("SUPPLIER #"), F.lpad(F.col("player_id").cast("string"), 9, "0")).alias("Player"), F.when(F.col("player_id") % 2 == 0, "brk").otherwise("LAL").alias("Team"),
+    raw = view(spark, d, "v_season_stats").select(
+        F.col("season").alias("Season"),
+        F.concat(F.lit("SUPPLIER #"), F.lpad(F.col("player_id").cast("string"), 9, "0")).alias("Player"), F.when(F.col("team_id") != "N", F.col("team_id")).when(F.col("player_id") % 2 == 0, "brk").otherwise("LAL").alias("Team"),
         F.col("minutes").alias("MP"), F.col("usage_pct").alias("USG"))
     out = builders.normalize_advanced(raw, view(spark, d, "v_players"), {
-        "player_name": "Player", "team_id": "Team", "minutes": "MP", "usage_pct": "USG"}, F.lit("2000-01"))
+        "player_name": "Player", "team_id": "Team", "minutes": "MP", "usage_pct": "USG"}, F.col("Season"))
     return out.select("player_id", "player_name", "season", "team_id", "minutes", "usage_pct")
 
 

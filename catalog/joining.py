@@ -49,12 +49,11 @@ def _(spark, d):
 
 @query("join_role", """
     select l.player_id, l.season_label, l.age, r.age as age_role, r.pace from
-      (select distinct player_id, season as season_label, 30.0 as age from v_logs_long where player_id % 2 = 0) l
+      (select distinct player_id, season as season_label, 30.0 as age from v_logs_long) l
     left join (select * from (select *, row_number() over (partition by player_id, season order by team_id) as rn from v_season_stats) x where rn = 1) r
     on r.player_id = l.player_id and r.season = l.season_label""", doubles="age age_role pace", needs="v_logs_long v_season_stats")
 def _(spark, d):
-    base = view(spark, d, "v_logs_long").filter(F.col("player_id") % 2 == 0)
-    base = base.select("player_id", F.col("season").alias("season_label"), F.lit(30.0).alias("age")).distinct()
+    base = view(spark, d, "v_logs_long").select("player_id", F.col("season").alias("season_label"), F.lit(30.0).alias("age")).distinct()
     return joins.join_role(base, view(spark, d, "v_season_stats"), ["age", "pace"], ["team_id"])
 
 

@@ -42,12 +42,12 @@ def _(spark, d):
 
 @query("fit_random_forest")
 def _(spark, d):
-    return _scored(spark, d, modelling.random_forest(trees=20))
+    return _scored(spark, d, modelling.random_forest(trees=60, depth=12))
 
 
 @query("fit_gbt")
 def _(spark, d):
-    return _scored(spark, d, modelling.gbt(loss="absolute", rounds=10))
+    return _scored(spark, d, modelling.gbt(loss="absolute", rounds=20))
 
 
 @query("fit_logistic")
@@ -84,7 +84,7 @@ def _(spark, d):
 
 @query("quantile_ranges")
 def _(spark, d):
-    ranged = modelling.quantile_ranges(_salary_rows(spark, d), SALARY_SET)
+    ranged = modelling.quantile_ranges(_salary_rows(spark, d), SALARY_SET, build=lambda: modelling.gbt(rounds=20))
     return metrics.interval_metrics(ranged.filter(F.col("split") != "train"), "salary_usd", "p10_usd", "p50_usd", "p90_usd")
 
 
@@ -92,28 +92,28 @@ def _(spark, d):
 def _(spark, d):
     df = cut(lagged(spark, d))
     sets = {"contract_age": SALARY_SET[:3], "contract_age_role": SALARY_SET}
-    evaluations, _ = modelling.train_grid(df, sets, ["cap_share", "delta_cap_share"], ["ridge", "elasticnet"])
+    evaluations, _ = modelling.train_grid(df, sets, ["cap_share", "delta_cap_share", "log_salary_usd"], ["ridge", "elasticnet"])
     return evaluations
 
 
 @query("train_grid_selection")
 def _(spark, d):
-    _, selected = modelling.train_grid(cut(lagged(spark, d)), {"contract_age": SALARY_SET[:3]}, ["cap_share", "log_salary_usd"], ["ridge"])
+    _, selected = modelling.train_grid(cut(lagged(spark, d)), {"contract_age": SALARY_SET[:3]}, ["cap_share", "delta_cap_share", "log_salary_usd"], ["ridge"])
     return selected
 
 
 @query("univariate_signal_scan")
 def _(spark, d):
-    df = cut(performance(spark, d).select(*IDS, *FORM[:2], TARGET))
-    return modelling.univariate_signal_scan(df, TARGET, FORM[:2], IDS, min_rows=100)
+    df = cut(performance(spark, d).select(*IDS, *FORM, TARGET))
+    return modelling.univariate_signal_scan(df, TARGET, FORM, IDS, min_rows=100, rounds=20)
 
 
 @query("permutation_importance")
 def _(spark, d):
     df = _rows(spark, d)
     train, valid = modelling.holdout(df, IDS)
-    model = modelling.fit(train, FORM[:4], modelling.random_forest(trees=10, leaf=8))
-    return modelling.permutation_importance(model, valid, FORM[:4], "label", IDS, repeats=2)
+    model = modelling.fit(train, FORM, modelling.random_forest(trees=10, leaf=8, depth=8))
+    return modelling.permutation_importance(model, valid, FORM, "label", IDS, repeats=2)
 
 
 @query("long_term_minutes_models")

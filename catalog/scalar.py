@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import LONG_SPLIT, SHORT_SPLIT, split_sql, table, view
-from formline.config import TEAM_ALIASES
+from formline.config import SALARY_CAPS, TEAM_ALIASES
 from formline.functions import scalars as S
 from formline.operators import frames, labels, splits
 from formline.sources import tables
@@ -18,17 +18,18 @@ def _(spark, d):
     return tables.require_columns(df, ["n_nationkey"], "nation").select("n_nationkey", "n_name", "n_regionkey")
 
 
-@query("scan_dir", "select count(*) as n, 'region.parquet' as file from region")
+@query("scan_dir", """
+    select 'orders' as file, count(*) as n, sum(o_custkey) as total from orders""")
 def _(spark, d):
-    df = tables.scan_table(spark, d, "parquet", recursiveFileLookup=True, pathGlobFilter="region.parquet")
-    named = df.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return named.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    df = tables.scan_dir(spark, d, "parquet", pattern="orders")
+    file = F.regexp_extract("source_file", r"(orders)\.parquet", 1).alias("file")
+    return df.groupBy(file).agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("total"))
 
 
 _CAP_SQL = """
     select season, salary_cap_usd, 'given' as source from v_cap
     union all
-    select * from (values ('2001-02', 42500000, 'curated_salary_cap_history'), ('2024-25', 140588000, 'curated_salary_cap_history')) d(season, salary_cap_usd, source)
+    select * from (values """ + ", ".join(f"('{s}', {c}, 'curated_salary_cap_history')" for s, c, _ in SALARY_CAPS) + """) d(season, salary_cap_usd, source)
     where season not in (select season from v_cap)"""
 
 
@@ -36,11 +37,7 @@ _CAP_SQL = """
 def _(spark, d):
     given = view(spark, d, "v_cap").withColumn("source", F.lit("given"))
     full = tables.complete_salary_cap(spark, given)
-    seen = given.select("season")
-    wanted = full.join(seen, "season", "left_semi").unionByName(
-        full.join(seen, "season", "left_anti").filter(F.col("season").isin("2001-02", "2024-25"))
-    )
-    return wanted.select("season", "salary_cap_usd", "source")
+    return full.select("season", "salary_cap_usd", "source")
 
 
 @query("schema_report", """

@@ -60,11 +60,10 @@ def filter_regular_season(df: DataFrame) -> DataFrame:
     if not text:
         return df
     has = {c: F.contains(F.lower(c), F.lit("regular")) for c in text}
-    seen = df.agg(*[F.max(has[c]).alias(c) for c in text]).first()
-    for c in text:
-        if seen[c]:
-            return df.filter(has[c])
-    return df
+    keep = F.lit(True)
+    for c in reversed(text):  # decided by subqueries when the plan runs
+        keep = F.when(F.coalesce(df.agg(F.max(has[c])).scalar(), F.lit(False)), has[c]).otherwise(keep)
+    return df.filter(keep)
 
 
 def filter_period_between(df: DataFrame, column: str, low, high) -> DataFrame:

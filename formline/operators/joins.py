@@ -5,6 +5,7 @@ Spark's own threshold decides for dimensions, and only the dimension rows of hot
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,21 +13,31 @@ from pyspark.sql import functions as F
 from formline.functions.scalars import name_key, number
 from formline.operators.ordered import PROBE, hot_groups, same_keys, split_hot
 from formline.operators.topk import dedup_keep
-from formline.session import broadcast_bytes, plan_bytes
+from formline.session import broadcast_bytes, catalyst_bytes
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join a dimension that is unique by ``on``; NULL keys match nothing.
 
-    A dimension Spark would broadcast anyway needs no care. Otherwise rows of hot keys (a
-    NULL key included) skip the shuffle: their dimension rows are few.
+    A dimension Spark would broadcast anyway needs no care. Otherwise rows of hot keys skip
+    the shuffle (their dimension rows are few), and rows with a NULL key are dealt out evenly.
     """
-    hot = None if plan_bytes(dim) <= broadcast_bytes(df.sparkSession) else hot_groups(df, on)
-    if hot is None:
+    if catalyst_bytes(dim) <= broadcast_bytes(df.sparkSession):
         return df.join(dim, list(on), "left")
+    hot = hot_groups(df, on)
+    if hot is None:
+        return _dealt_nulls(df, dim, on)
     big, small = split_hot(df, on, hot)
     few, _ = split_hot(dim, on, hot)
-    return small.join(dim, list(on), "left").unionByName(big.join(F.broadcast(few), list(on), "left"))
+    return _dealt_nulls(small, dim, on).unionByName(big.join(F.broadcast(few), list(on), "left"))
+
+
+def _dealt_nulls(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join whose NULL keys, which match nothing, are spread over the partitions."""
+    missing = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in on))
+    spread = [F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = df.withColumn("__dealt", F.when(missing, F.pmod(F.xxhash64(*spread), F.lit(4096)) + 1).otherwise(F.lit(0).cast("long")))
+    return dealt.join(dim.withColumn("__dealt", F.lit(0).cast("long")), [*on, "__dealt"], "left").drop("__dealt")
 
 
 def join_same(
@@ -85,7 +96,7 @@ def join_by_name_key(
 def join_cap(df: DataFrame, cap: DataFrame, season: str = "season_label") -> DataFrame:
     """Season cap and the salary's share of it."""
     caps = cap.withColumn("salary_cap_usd", number("salary_cap_usd")).withColumnRenamed("season", season)
-    unique = dedup_keep(caps, [season], ["salary_cap_usd"])
+    unique = dedup_keep(caps, [season], ["salary_cap_usd", *sorted(c for c in caps.columns if c not in (season, "salary_cap_usd"))])
     joined = lookup(df, unique, [season])
     return joined.withColumn("salary_cap_share", F.try_divide(number("salary_usd"), F.col("salary_cap_usd")))
 

@@ -34,15 +34,17 @@ def elasticnet(label: str = "label", alpha: float = 0.001, l1: float = 0.2) -> L
     return LinearRegression(labelCol=label, elasticNetParam=l1, regParam=alpha)
 
 
-def random_forest(label: str = "label", trees: int = 60, leaf: int = 10, classify: bool = False) -> Estimator:
+def random_forest(label: str = "label", trees: int = 250, leaf: int = 10, depth: int = 30, classify: bool = False) -> Estimator:
+    """Depth 30 is the deepest that spark.ml grows; ``leaf`` ends growth earlier."""
     kind = RandomForestClassifier if classify else RandomForestRegressor
-    return kind(labelCol=label, numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxDepth=8, seed=SEED)
+    return kind(labelCol=label, numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxDepth=depth, seed=SEED)
 
 
-def gbt(label: str = "label", loss: str = "squared", rounds: int = 20, classify: bool = False) -> Estimator:
-    if classify:
-        return GBTClassifier(labelCol=label, maxIter=rounds, seed=SEED)
-    return GBTRegressor(labelCol=label, lossType=loss, maxIter=rounds, seed=SEED)
+def gbt(
+    label: str = "label", loss: str = "squared", rounds: int = 250, step: float = 0.05, leaf: int = 20, depth: int = 5, classify: bool = False
+) -> Estimator:
+    settings = {"labelCol": label, "maxIter": rounds, "stepSize": step, "minInstancesPerNode": leaf, "maxDepth": depth, "seed": SEED}
+    return GBTClassifier(**settings) if classify else GBTRegressor(lossType=loss, **settings)
 
 
 def logistic(label: str = "label", strength: float = 0.5, rows: int = 1) -> LogisticRegression:
@@ -84,20 +86,23 @@ def estimators(rows: int) -> dict[str, tuple[Estimator, bool]]:
     """Regressors of a grid and whether they want scaled inputs."""
     return {
         "ridge": (ridge(5.0, rows), True), "elasticnet": (elasticnet(), True),
-        "random_forest": (random_forest(), False), "gbt_absolute": (gbt(loss="absolute"), False),
+        "random_forest": (random_forest(), False), "gbt_absolute": (gbt(loss="absolute"), False), "gbt_squared": (gbt(), False),
     }
 
 
 def fit_by_segment(
-    df: DataFrame, features: Sequence[str], segment: str, build, min_rows: int = 80, split: str = "split",
+    df: DataFrame, features: Sequence[str], segment: str, build, min_rows: int = 80, split: str = "split", most: int = 50,
 ) -> DataFrame:
     """One model per segment with enough training rows, a global model for the rest.
 
-    Segments are a handful of labels; each slice is scored by its model and the slices unioned.
+    Segments are a handful of labels, ``most`` of them at most (more are an error); each slice
+    is scored by its model and the slices unioned.
     """
     train = df.filter(F.col(split) == "train")
     counts = train.dropna(subset=[segment]).groupBy(segment).agg(F.count(F.lit(1)).alias("n"))
-    large = sorted(r[segment] for r in counts.filter(F.col("n") >= min_rows).collect())
+    large = sorted(r[segment] for r in counts.filter(F.col("n") >= min_rows).limit(most + 1).collect())
+    if len(large) > most:
+        raise ValueError(f"{segment} has more than {most} segments")
     overall = fit(train, features, build())
     parts = []
     for s in large:
@@ -110,15 +115,15 @@ def fit_by_segment(
 
 def quantile_ranges(
     df: DataFrame, features: Sequence[str], alphas: Sequence[float] = (0.10, 0.50, 0.90), segment: str = "salary_segment",
-    split: str = "split",
+    split: str = "split", build=gbt,
 ) -> DataFrame:
     """p10/p50/p90 salary in USD: a point model on log1p(usd) plus training-residual quantiles per segment."""
     train = df.filter(F.col(split) == "train")
-    scored = score(fit(train, features, gbt()), df, "log_prediction")
+    scored = score(fit(train, features, build()), df, "log_prediction")
     residual = scored.filter(F.col(split) == "train").withColumn("__res", F.col("label") - F.col("log_prediction"))
     per = group_quantiles(residual, [segment], ["__res"], alphas)
     whole = group_quantiles(residual, [], ["__res"], alphas).select("__res__q").scalar()
-    out = scored.join(per, segment, "left").withColumn("__q", F.coalesce("__res__q", whole))
+    out = join_same(scored, per, [segment]).withColumn("__q", F.coalesce("__res__q", whole))
     made = {
         f"p{round(a * 100)}_usd": clamp(F.expm1(F.col("log_prediction") + F.col("__q")[i]), 0, None)
         for i, a in enumerate(alphas)
@@ -171,6 +176,7 @@ def holdout(df: DataFrame, ids: Sequence[str], share: float = 0.25, seed: int =
 
 def univariate_signal_scan(
     df: DataFrame, target: str, features: Sequence[str], ids: Sequence[str], min_rows: int = 500, classify: bool = False,
+    rounds: int = 250,
 ) -> DataFrame:
     """Linear against boosted-tree score of each feature alone on a holdout."""
     checks = df.dropna(subset=[target]).agg(*[F.count(f).alias(f) for f in features]).first()
@@ -181,7 +187,7 @@ def univariate_signal_scan(
         linear = logistic(rows=int(checks[f]), strength=1.0) if classify else ridge(1.0, int(checks[f]))
         fit_rows = train.withColumn("__weight", F.lit(1.0)) if classify else train
         scores = {}
-        for name, estimator in (("linear_score", linear), ("tree_score", gbt(classify=classify))):
+        for name, estimator in (("linear_score", linear), ("tree_score", gbt(classify=classify, rounds=rounds))):
             scored = score(fit(fit_rows, [f], estimator, name == "linear_score"), valid, "__p", classify)
             metric = classification_metrics(scored, "label", "__p").select(F.col("roc_auc").alias(name)) if classify \
                 else regression_metrics(scored, "label", "__p").select(F.col("r2").alias(name))

@@ -42,6 +42,7 @@ def missing_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = names.join(per, "column", "left")
     if len(present) < len(columns):
         out = out.withColumn("__rows", F.coalesce("__rows", per.agg(F.max("__rows")).scalar()))
+    out = out.withColumn("__rows", F.coalesce("__rows", F.lit(0)))  # an empty table misses nothing
     missing = F.col("__rows") - F.coalesce("observed", F.lit(0))
     share = F.when(F.col("dtype") == "MISSING_COLUMN", 1.0).otherwise(F.try_divide(missing, F.col("__rows")))
     return out.select("column", "dtype", missing.alias("missing_count"), share.alias("missing_pct"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
@@ -130,7 +131,7 @@ def validate_training(df: DataFrame, config: QualityConfig) -> tuple[DataFrame,
 def assert_valid(df: DataFrame, config: QualityConfig) -> None:
     """Raise on any error-severity issue (issues are bounded by columns and labels)."""
     issues, _ = validate_training(df, config)
-    errors = issues.filter(F.col("severity") == "error").select("message").take(1000)
+    errors = issues.filter(F.col("severity") == "error").select("message").distinct().orderBy("message").collect()
     if errors:
         raise ValueError("Training dataframe failed validation:\n" + "\n".join(r["message"] for r in errors))
 

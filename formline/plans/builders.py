@@ -38,6 +38,15 @@ from formline.sources.tables import (
 _PLAYER_COLUMNS = ("birth_date", "position", "height", "weight")
 
 
+#: Id of salaries whose player is not known; it joins with nothing.
+UNKNOWN_PLAYER = -1
+
+
+def _one_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """First row of each key by ``order``, then by every other column, so that ties don't depend on partitioning."""
+    return dedup_keep(df, keys, [*order, *sorted(c for c in df.columns if c not in (*keys, *order))])
+
+
 # --- role ---------------------------------------------------------------------------------
 def build_role_features(players: DataFrame, stats: DataFrame, variant: str = "weighted", fit_where: Column | None = None) -> DataFrame:
     """Season rates with player bio, imputed, plus role dimensions; one row per player, season, team."""
@@ -54,7 +63,7 @@ def build_role_features(players: DataFrame, stats: DataFrame, variant: str = "we
     role = missing_flags(role, [*numeric, "position"])
     role = fill_unknown(fill_median(role, numeric, fit_where), ["position", "team_id"])
     role = role_dimensions(role, variant)
-    return dedup_keep(role, ["player_id", "season", "team_id"], sorted(numeric))
+    return _one_of(role, ["player_id", "season", "team_id"], sorted(numeric))
 
 
 # --- performance --------------------------------------------------------------------------
@@ -123,7 +132,7 @@ def build_lagged_salary(
     money = ["salary_usd", "salary_cap_usd", "salary_cap_share"]
     base = salary.select(
         "player_id", "player_name", "season_label", "season_start_year", "age", "position", "height", "weight", *money
-    ).dropna(subset=["player_id", "season_start_year", *money])
+    ).dropna(subset=["player_id", "season_start_year", *money]).filter(F.col("player_id") != UNKNOWN_PLAYER)
     history = base.select(
         "player_id", "season_start_year", F.col("salary_usd").alias("salary_usd"), "salary_cap_share"
     )
@@ -238,7 +247,7 @@ def clean_salary(df: DataFrame) -> DataFrame:
     out = df.dropna(subset=["player_name", "season_label", "salary_usd", "salary_cap_usd", "salary_cap_share"])
     out = _first_of(out, ["player_name", "season_label", "team", "salary_usd"])
     if "player_id" in out.columns:
-        out = missing_flags(out, ["player_id"]).withColumn("player_id", F.coalesce(F.col("player_id").try_cast("long"), F.lit(-1)))
+        out = missing_flags(out, ["player_id"]).withColumn("player_id", F.coalesce(F.col("player_id").try_cast("long"), F.lit(UNKNOWN_PLAYER)))
     tidy = {"player_name": _text("player_name"), "season_label": F.col("season_label").cast("string")}
     tidy |= {c: F.upper(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("UNK")))) for c in ("team", "team_id") if c in out.columns}
     if "position" in out.columns:
@@ -296,7 +305,7 @@ def normalize_players(raw: DataFrame) -> DataFrame:
         position_from_flags("guard", "forward", "center").alias("position"),
         number("heightInches").alias("height"), number("bodyWeightLbs").alias("weight"),
     )
-    return dedup_keep(out.dropna(subset=["player_id"]), ["player_id"], ["player_name", "birth_date"])
+    return _one_of(out.dropna(subset=["player_id"]), ["player_id"], ["player_name", "birth_date"])
 
 
 def player_lookup(players: DataFrame) -> DataFrame:
@@ -321,7 +330,7 @@ def normalize_advanced(raw: DataFrame, players: DataFrame, renames: dict[str, st
         elif name != "player_name":
             columns[name] = percent_to_ratio(col) if name in RATE_COLUMNS else number(col)
     out = joined.select(*[c.alias(n) for n, c in columns.items()]).dropna(subset=["player_id"])
-    return dedup_keep(out, ["player_id", "season", "team_id"], ["player_name"])
+    return _one_of(out, ["player_id", "season", "team_id"], ["player_name"])
 
 
 def normalize_api_logs(raw: DataFrame, tie: Sequence[str] = ("team_id",)) -> DataFrame:

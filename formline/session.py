@@ -44,6 +44,11 @@ def plan_bytes(df: DataFrame) -> int:
     return min(int(str(plan.stats().sizeInBytes())), sources)
 
 
+def catalyst_bytes(df: DataFrame) -> int:
+    """Catalyst's own size estimate of a plan: what Spark decides a broadcast by."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def broadcast_bytes(spark: SparkSession) -> int:
     """Size up to which Spark broadcasts a join side by itself."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().removesuffix("b")

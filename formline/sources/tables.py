@@ -72,12 +72,23 @@ def scan_table(
     return nan_to_null(df)
 
 
-def scan_dir(spark: SparkSession, folder: str, kind: str = "parquet", schema=None, **options) -> DataFrame:
-    """All files of one kind below a folder, each row tagged with its ``source_file``."""
-    if kind not in _FORMATS.values():
-        raise ValueError(f"Unsupported file kind: {kind}")
-    found = scan_table(spark, folder, kind, schema, recursiveFileLookup=True, pathGlobFilter=f"*.{kind}", **options)
-    return found.withColumn("source_file", F.input_file_name())
+def scan_dir(
+    spark: SparkSession, folder: str, kinds: str | Sequence[str] = "parquet", schema=None, pattern: str = "*", **options
+) -> DataFrame:
+    """All files of the given kinds below a folder whose names match ``pattern``, each row tagged with its ``source_file``.
+
+    Files of several kinds are united by column name; a column that a kind lacks is NULL in its rows.
+    """
+    out = None
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in _FORMATS.values():
+            raise ValueError(f"Unsupported file kind: {kind}")
+        found = scan_table(spark, folder, kind, schema, recursiveFileLookup=True, pathGlobFilter=f"{pattern}.{kind}", **options)
+        found = found.withColumn("source_file", F.input_file_name())
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("name at least one kind of file")
+    return out
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
