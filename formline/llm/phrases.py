@@ -3,9 +3,10 @@
 1. Documents form blocks by ranges of their id. Every window of ``window`` words is hashed, each block's
    distinct hashes are shuffled by hash range, and a range confirms for each block which of its windows also
    occur in an earlier block.
-2. Confirmed windows go back to their blocks. A block compiles them, with the windows that several of its own
-   documents share, into Aho-Corasick automata over word symbols, in shards of a bounded number of phrases, and
-   streams all its documents through each to locate every occurrence that an earlier document owns.
+2. Confirmed windows go back to their blocks. Runs of them, and of windows that earlier documents of the block
+   have, are its recurring passages. A block compiles them into Aho-Corasick automata over word symbols, in shards
+   of a bounded size, and streams all its documents through each to locate every occurrence that an earlier
+   document owns.
 
 A block holds a bounded number of bytes (a longer document alone), so automata stay small however many phrases
 the corpus repeats; a phrase that is in every document costs one hash per block.
@@ -33,8 +34,8 @@ from formline.llm.tokens import NOT_SPACE, bytes_of, grams, slices, words
 BLOCK_BYTES = 2 << 20
 #: Stored bytes of documents per hash range.
 RANGE_BYTES = 8 << 20
-#: Phrases of one automaton.
-SHARD_PHRASES = 50_000
+#: Words of the passages of one automaton, a longer passage aside.
+SHARD_WORDS = 500_000
 #: Window hashes that a task holds before it passes them on.
 HELD = 4_000_000
 
@@ -50,32 +51,39 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def locate(texts: list[tuple[np.ndarray, int]], firsts: np.ndarray, owners: np.ndarray, symbols: np.ndarray, window: int) -> list[np.ndarray]:
-    """Covered words of each text by occurrences of phrases that an earlier text owns.
+def locate(
+    texts: list[tuple[np.ndarray, int]], begins: np.ndarray, lens: np.ndarray, owners: np.ndarray, symbols: np.ndarray
+) -> list[np.ndarray]:
+    """Covered words of each text by occurrences of passages that an earlier text owns.
 
-    texts: (word symbols, rank) each; phrase p is the ``window`` symbols from ``firsts[p]`` on in ``symbols``,
-    owned by rank ``owners[p]``.
+    texts: (word symbols, rank) each; passage p is ``lens[p]`` symbols from ``begins[p]`` on in ``symbols``, all of
+    whose windows texts of rank ``owners[p]`` or less have. A word is written as two letters of alphabets that are
+    apart, as an automaton's nodes look their edges up one by one.
     """
-    covered = [np.zeros(len(s) + 1, np.int32) for s, _ in texts]
-    for lo in range(0, len(firsts), SHARD_PHRASES):
-        part = firsts[lo : lo + SHARD_PHRASES]
-        used = np.unique(symbols[part[:, None] + np.arange(window)])
-        points = np.arange(2, len(used) + 2, dtype=np.uint32)  # 1 stands for all other words
-        points[points >= 0xD800] += 0x800
-        letter = np.ones(int(symbols.max()) + 1, np.uint32)
-        letter[used] = points
+    covered = [np.zeros(len(own) + 1, np.int32) for own, _ in texts]
+    upto = np.cumsum(lens) - lens
+    lo = 0
+    while lo < len(begins):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + SHARD_WORDS)))
+        within = np.repeat(begins[lo:hi] - (upto[lo:hi] - upto[lo]), lens[lo:hi]) + np.arange(int(lens[lo:hi].sum()))
+        used = np.unique(symbols[within])
+        base = int(len(used) ** 0.5) + 1
+        letters = np.ones((int(symbols.max()) + 1, 2), "<u2")  # 1 stands for all words of no passage
+        letters[used, 0], letters[used, 1] = 2 + np.arange(len(used)) // base, 3 + base + np.arange(len(used)) % base
         machine = ahocorasick.Automaton()
-        for phrase, owner in zip(letter[symbols[part[:, None] + np.arange(window)]], owners[lo : lo + SHARD_PHRASES].tolist()):
-            machine.add_word(phrase.astype("<u4").tobytes().decode("utf-32-le"), owner)
+        for a, n, owner in zip(begins[lo:hi].tolist(), lens[lo:hi].tolist(), owners[lo:hi].tolist()):
+            passage = letters[symbols[a : a + n]].tobytes().decode("utf-16-le")
+            known = machine.get(passage, None)
+            if known is None or owner < known[1]:
+                machine.add_word(passage, (n, owner))
         machine.make_automaton()
         for (own, rank), marks in zip(texts, covered):
-            if len(own) < window:
-                continue
-            ends = [end for end, owner in machine.iter(letter[own].astype("<u4").tobytes().decode("utf-32-le")) if owner < rank]
-            if ends:
-                at = np.array(ends)
-                np.add.at(marks, at - window + 1, 1)
-                np.add.at(marks, at + 1, -1)
+            if len(own):
+                for end, (n, owner) in machine.iter(letters[own].tobytes().decode("utf-16-le")):
+                    if owner < rank:
+                        marks[end // 2 - n + 1] += 1
+                        marks[end // 2 + 1] -= 1
+        lo = hi
     return [np.cumsum(marks[:-1]) > 0 for marks in covered]
 
 
@@ -170,17 +178,19 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         h, same = grams(every, row, window)
         at = np.flatnonzero(same & valid[row[: len(h)]])
         h, of = h[at], rank[row[at]]
-        distinct, where, group = np.unique(h, return_index=True, return_inverse=True)
-        low, high = np.full(len(distinct), 1 << 60), np.full(len(distinct), -1)
+        distinct, group = np.unique(h, return_inverse=True)
+        low = np.full(len(distinct), 1 << 60)
         np.minimum.at(low, group, of)
-        np.maximum.at(high, group, of)
-        earlier = np.isin(distinct, known, assume_unique=True)
-        chosen = earlier | (low < high)
+        owner = np.where(np.isin(distinct, known, assume_unique=True), -1, low)[group]
+        repeated = np.flatnonzero(owner < of)
         covered = [np.zeros(n, bool) for n in np.diff(first).tolist()]
-        if chosen.any():
+        if len(repeated):  # passages: longest runs of windows of one document that an earlier one has
+            place, owner = at[repeated], owner[repeated]
+            begins = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(row[place]) != 0))))
+            lens = np.diff(np.concatenate((begins, [len(place)]))) + window - 1
             _, symbols = np.unique(every, return_inverse=True)
             texts = [(symbols[a:b], int(r)) for a, b, r in zip(first[:-1].tolist(), first[1:].tolist(), rank.tolist())]
-            covered = locate(texts, at[where[chosen]], np.where(earlier, -1, low)[chosen], symbols, window)
+            covered = locate(texts, place[begins], lens, np.maximum.reduceat(owner, begins), symbols)
         kept, raw = [], data.tobytes()
         for (a, b), marks in zip(zip(bounds[:-1].tolist(), bounds[1:].tolist()), covered):
             kept.append(b" ".join(compress(raw[a:b].split(), (~marks).tolist())))
