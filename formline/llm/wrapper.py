@@ -54,6 +54,10 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title noscript template iframe".split())
+#: Neighbours of these kinds are folded only if they hold the same elements.
+CONTAINER_TAGS = frozenset("div section span table td".split())
+#: Open elements at most; deeper ones lie side by side.
+MAX_DEPTH = 150
 #: Elements that an opening tag of the first kind ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_PARAGRAPH = BLOCK_TAGS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -117,7 +121,8 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else n
             continue
-        stack.append(node)
+        if len(stack) < MAX_DEPTH:
+            stack.append(node)
     return root
 
 
@@ -137,29 +142,30 @@ def shape(node: Node, linked: bool = False) -> list:
     return own
 
 
+def _kind(node: Node) -> str:
+    """What neighbours must share to be folded."""
+    if node.tag not in CONTAINER_TAGS:
+        return node.sig
+    return node.sig + "(" + ",".join(dict.fromkeys(_kind(c) for c in node.children if isinstance(c, Node))) + ")"
+
+
 def _fold(nodes: list[Node], own: list, linked: bool) -> None:
-    texts, size, groups = [], 0, []
+    texts, size = [], 0
+    made: dict[str, list[Node]] = {}  # children of one node, or of several folded ones, by kind in order of appearance
     for node in nodes:
         node.place = own
-        inside = linked or node.tag == "a"
         for child in node.children:
-            if isinstance(child, str):
-                if child := child.strip():
-                    texts.append(child)
-                    size += len(child)
-            elif groups and groups[-1][0].sig == child.sig:
-                groups[-1].append(child)
-            else:
-                groups.append([child])
+            if isinstance(child, Node):
+                made.setdefault(_kind(child), []).append(child)
+            elif child := child.strip():
+                texts.append(child)
+                size += len(child)
     inside = linked or own[0].partition(".")[0] == "a"
     own[2], own[3] = size, size if inside else 0
     if texts:
         own[4] = {zlib.crc32("\n".join(texts).encode("utf-8", "surrogatepass")): 1}
-    made: dict[str, list] = {}
-    for group in groups:  # children of several folded nodes, or of one, by signature in order of appearance
-        made.setdefault(group[0].sig, []).extend(group)
-    for sig, group in made.items():
-        child = [sig, 1, 0, 0, {}, []]
+    for group in made.values():
+        child = [group[0].sig, 1, 0, 0, {}, []]
         own[5].append(child)
         _fold(group, child, inside)
 
@@ -197,18 +203,26 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return best[-1][-1] + 1, pairs[::-1]
 
 
-def merge(a: list, b: list) -> None:
-    """Adds template ``b`` of the same signature to ``a``: aligned nodes add up, others are put in place."""
+def _add(a: list, b: list) -> None:
     for k in (1, 2, 3):
         a[k] += b[k]
     for key, n in b[4].items():
         a[4][key] = a[4].get(key, 0) + n
     if len(a[4]) > TEXTS_KEPT:
         a[4] = dict(sorted(a[4].items(), key=lambda x: (-x[1], x[0]))[:TEXTS_KEPT])
-    same = [x[0] for x in a[5]] == [x[0] for x in b[5]]
-    pairs = [(i, i) for i in range(len(a[5]))] if same else matching(a, b)[1]
+
+
+def merge_same(a: list, b: list) -> None:
+    """``merge`` of two templates of one form: every node meets its own place."""
+    for x, y in zip(number(a), number(b)):
+        _add(x, y)
+
+
+def merge(a: list, b: list) -> None:
+    """Adds template ``b`` of the same signature to ``a``: aligned nodes add up, others are put in place."""
+    _add(a, b)
     out, i, j = [], 0, 0
-    for x, y in [*pairs, (len(a[5]), len(b[5]))]:
+    for x, y in [*matching(a, b)[1], (len(a[5]), len(b[5]))]:
         out += a[5][i:x] + b[5][j:y]
         if x < len(a[5]) and y < len(b[5]):
             merge(a[5][x], b[5][y])
@@ -317,7 +331,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
                     own = shape(parse(source))
                     key = host, form(own)
                     if key in held:
-                        merge(held[key], own)
+                        merge_same(held[key], own)
                     else:
                         held[key] = own
         salt, out = TaskContext.get().partitionId() % SALTS, {}
