@@ -51,15 +51,19 @@ def linked_groups(
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("met"))
     dense = cut(keyed.join(shared.filter("low < high").select("key", "met"), "key"))
     own = [F.col(c).alias(f"b_{c}") for c in payload]
-    degrees = dense.groupBy("id").agg(F.sum("met").alias("degree"))
+    # a key of two rows is one pair; only larger ones have a hub, and pairs left to try
+    two, large = dense.filter("met = 2"), dense.filter("met > 2")
+    one, other = (two.select("key", F.col("id").alias(v), *[F.col(c).alias(f"{side}{c}") for c in payload]) for v, side in (("x", "a_"), ("y", "b_")))
+    degrees = large.groupBy("id").agg(F.sum("met").alias("degree"))
     hub = F.max(F.struct("degree", "id", *payload)).alias("hub")
-    hubs = dense.join(degrees, "id").groupBy("key").agg(hub).select("key", F.col("hub.id").alias("x"), *[F.col(f"hub.{c}").alias(f"a_{c}") for c in payload])
-    spokes = dense.select("key", F.col("id").alias("y"), *own).join(hubs, "key").filter((F.col("x") != F.col("y")) & may_link("a_", "b_"))
-    star = spokes.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    hubs = large.join(degrees, "id").groupBy("key").agg(hub).select("key", F.col("hub.id").alias("x"), *[F.col(f"hub.{c}").alias(f"a_{c}") for c in payload])
+    spokes = large.select("key", F.col("id").alias("y"), *own).join(hubs, "key").filter((F.col("x") != F.col("y")) & may_link("a_", "b_"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    star = spokes.select(*pair).unionByName(one.join(other, "key").filter((F.col("x") < F.col("y")) & may_link("a_", "b_")).select(*pair))
     tried = cut(star.distinct())
     first = cut(verify(tried))
     group = components(first).withColumnRenamed("component", "c")
-    rows = dense.select("key", "id", *payload).join(group, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    rows = large.select("key", "id", *payload).join(group, "id", "left").withColumn("c", F.coalesce("c", "id"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     open_rows = cut(rows.join(mixed, "key").distinct())
     sizes = open_rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
