@@ -127,7 +127,7 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     n = max(1, -(-int(size) // block_bytes))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
     for b in range(n):
-        yield [(r["id"], r["text"]) for r in items.filter(part == b).select("id", "text").toLocalIterator()]
+        yield [(r["id"], r["text"]) for r in items.filter(part == b).select("id", "text").collect()]
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0, item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ def brute(docs, items, window=13):
     return sorted(out)
 
 
-ITEMS = [(1, edge_rows()[9][1].split("\n")[0]), (2, None), (3, ""), (4, "ONE"), (5, "a b c d e f g h i j k l m"), (6, "a b, c d e f g h i j k l m n"),
+ITEMS = [(1, edge_rows()[10][1].split("\n")[0]), (2, None), (3, ""), (4, "ONE"), (5, "a b c d e f g h i j k l m"), (6, "a b, c d e f g h i j k l m n"),
          (7, "One"), (8, "école STRASSE"), (9, "école straße"), (10, "É" + "cole"), (11, "...")]
 
 
