@@ -54,7 +54,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text without the lines that an earlier line repeats; a row that loses all its text goes."""
-    kept = lines.dedup_lines(docs, drop_emptied=True)
+    kept = lines.dedup_lines(docs, min_words=0, drop_emptied=True)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
