@@ -23,6 +23,9 @@ KEEP_SCORE = 0.3
 #: Share of words in benchmark passages from which a text is contaminated.
 CONTAMINATED = 20
 
+#: Words of a shingle, and the percentage of common ones from which two texts are near-duplicates.
+SHINGLE, ALIKE = 5, 80
+
 
 def _row() -> F.Column:
     """Key of a row: equal ids and texts are one document to every stage."""
@@ -60,7 +63,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id of each group of near-duplicates; rows of equal id and text stay or go together."""
-    gone = jaccard.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select(F.col("row").alias("__gone")).distinct()
+    gone = jaccard.near_duplicates(docs.select("doc_id", "text"), n=SHINGLE, percent=ALIKE).filter("not kept").select(F.col("row").alias("__gone")).distinct()
     return docs.join(gone, _row() == F.col("__gone"), "left_anti")
 
 

@@ -1,10 +1,13 @@
+import random
+
 import tiktoken
 
 import corpus_pipeline
 from formline.llm import bpe
 from formline.llm.lines import report_lines
 from formline.llm.queries import QUERIES
-from tests.llm.conftest import SF
+from tests.llm.conftest import SF, sentence
+from tests.llm.test_jaccard import brute
 
 
 def staged(spark, docs, sf_dir, tmp_path):
@@ -34,6 +37,20 @@ def test_stages_agree_with_their_operators(spark, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in tokens.collect()} == {r["doc_id"]: len(encoder.encode_ordinary(r["text"])) for r in clean.collect()}
 
 
+def test_near_duplicates_equal_brute_force_at_five_words(spark):
+    rng, docs = random.Random(4), []
+    for i in range(30):
+        base = sentence(rng, 204).split()
+        changed = list(base)
+        for k in range(4):  # isolated edits cost 5 shingles of five words and 4 of four
+            changed[20 + 40 * k] = f"edit{k}"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed[: 204 - i]))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = {str(r["doc_id"]) for r in corpus_pipeline.drop_near_duplicates(spark, rows, SF).collect()}
+    five, four = ({str(c) for _, _, c in brute(docs, *law)} for law in ((5, 80), (4, 85)))
+    assert kept == five and five < four
+
+
 def test_edges_and_empty_table(spark, edge, empty, tmp_path):
     stages = staged(spark, edge, SF, tmp_path / "edge")
     assert all(d.columns == edge.columns for d in stages[:-1]) and stages[-1].count() == stages[-2].count()
