@@ -17,6 +17,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,8 +57,6 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style textarea title noscript template iframe".split())
 #: Neighbours of these kinds are folded only if they hold the same elements.
 CONTAINER_TAGS = frozenset("div section span table td".split())
-#: Open elements at most; deeper ones lie side by side.
-MAX_DEPTH = 150
 #: Elements that an opening tag of the first kind ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_PARAGRAPH = BLOCK_TAGS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -82,6 +81,12 @@ def parse(source: str) -> Node:
     """Tree of elements and texts; whatever is malformed is taken as far as it goes."""
     root = Node("#root")
     stack, at, n = [root], 0, len(source)
+    opened: Counter[str] = Counter()  # open elements by name
+
+    def close(depth: int) -> None:
+        opened.subtract(x.tag for x in stack[depth:])
+        del stack[depth:]
+
     while at < n:
         found = _TAG.search(source, at)
         if not found:
@@ -95,20 +100,22 @@ def parse(source: str) -> Node:
             continue
         name = name.lower()
         if found[1]:
-            if any(x.tag == name for x in stack[1:]):
-                while stack.pop().tag != name:
-                    pass
+            if opened[name] > 0:
+                depth = len(stack) - 1
+                while stack[depth].tag != name:
+                    depth -= 1
+                close(depth)
             continue
-        if name in ENDS_PARAGRAPH:
+        if name in ENDS_PARAGRAPH and opened["p"] > 0:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in BLOCK_TAGS:
                     break
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in ENDS.get(name, ()):
-                del stack[depth:]
+        for depth in range(len(stack) - 1 if name in ENDS else 0, 0, -1):
+            if stack[depth].tag in ENDS[name]:
+                close(depth)
                 break
             if stack[depth].tag in BLOCK_TAGS:
                 break
@@ -121,8 +128,8 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else n
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        stack.append(node)
+        opened[name] += 1
     return root
 
 
@@ -131,32 +138,42 @@ def furniture(sig: str) -> bool:
     return tag in FURNITURE_TAGS or (tag not in LANDMARK_TAGS and tag not in ("html", "body") and not FURNITURE_NAMES.isdisjoint(names))
 
 
-# A template node: [sig, pages, characters, linked characters, {text hash: pages}, children]
+# A template node: [sig, pages, characters, linked characters, {text hash: pages}, children]. Pages may be nested to any
+# depth, so nothing here calls itself.
 
 
 def shape(node: Node, linked: bool = False) -> list:
     """Template of a single page: like neighbours are folded into one node; ``place`` names each node's own one."""
     own = [node.sig, 1, 0, 0, {}, []]
-    _fold([node], own, linked)
+    kinds = _kinds(node)
+    todo = [([node], own, linked)]
+    while todo:
+        nodes, made, above = todo.pop()
+        todo += _fold(nodes, made, above, kinds)
     number(own)
     return own
 
 
-def _kind(node: Node) -> str:
-    """What neighbours must share to be folded."""
-    if node.tag not in CONTAINER_TAGS:
-        return node.sig
-    return node.sig + "(" + ",".join(dict.fromkeys(_kind(c) for c in node.children if isinstance(c, Node))) + ")"
+def _kinds(root: Node) -> dict[int, int]:
+    """What neighbours must share to be folded, as a number for each node (by identity)."""
+    order, numbers, kinds = [root], {}, {}
+    for node in order:
+        order.extend(c for c in node.children if isinstance(c, Node))
+    for node in reversed(order):
+        inner = dict.fromkeys(kinds[id(c)] for c in node.children if isinstance(c, Node)) if node.tag in CONTAINER_TAGS else ()
+        kinds[id(node)] = numbers.setdefault((node.sig, tuple(inner)), len(numbers))
+    return kinds
 
 
-def _fold(nodes: list[Node], own: list, linked: bool) -> None:
+def _fold(nodes: list[Node], own: list, linked: bool, kinds: dict[int, int]) -> list[tuple[list[Node], list, bool]]:
+    """Fills ``own`` from the nodes folded into it; the groups of their children are still to be folded."""
     texts, size = [], 0
-    made: dict[str, list[Node]] = {}  # children of one node, or of several folded ones, by kind in order of appearance
+    made: dict[int, list[Node]] = {}  # children of one node, or of several folded ones, by kind in order of appearance
     for node in nodes:
         node.place = own
         for child in node.children:
             if isinstance(child, Node):
-                made.setdefault(_kind(child), []).append(child)
+                made.setdefault(kinds[id(child)], []).append(child)
             elif child := child.strip():
                 texts.append(child)
                 size += len(child)
@@ -164,10 +181,8 @@ def _fold(nodes: list[Node], own: list, linked: bool) -> None:
     own[2], own[3] = size, size if inside else 0
     if texts:
         own[4] = {zlib.crc32("\n".join(texts).encode("utf-8", "surrogatepass")): 1}
-    for group in made.values():
-        child = [group[0].sig, 1, 0, 0, {}, []]
-        own[5].append(child)
-        _fold(group, child, inside)
+    own[5] += [[group[0].sig, 1, 0, 0, {}, []] for group in made.values()]
+    return [(group, child, inside) for group, child in zip(made.values(), own[5])]
 
 
 def number(template: list) -> list[list]:
@@ -178,18 +193,52 @@ def number(template: list) -> list[list]:
     return out
 
 
-def form(template: list) -> str:
-    return template[0] + "(" + ",".join(map(form, template[5])) + ")" if template[5] else template[0]
+def dumps(template: list) -> str:
+    """A template as JSON without nesting: each node in document order with the number of its children."""
+    return json.dumps([[*node[:5], len(node[5])] for node in number(template)])
 
 
-def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two nodes of one signature: nodes matched in all, and the pairs of their children."""
-    left, right = a[5], b[5]
+def loads(blob: str) -> list:
+    nodes = json.loads(blob)
+    at = 1
+    for node in nodes:
+        node[5], at = nodes[at : at + node[5]], at + node[5]
+    return nodes[0]
+
+
+def form(template: list) -> str:
+    out, todo = [], [template]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        out.append(node[0])
+        if node[5]:
+            todo.append(")")
+            for i, child in enumerate(reversed(node[5])):
+                todo += [",", child] if i else [child]
+            todo.append("(")
+    return "".join(out)
+
+
+def _aligned(a: list, b: list) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
+    """``matching`` of the two nodes and of all nodes below them that may meet, by identity."""
+    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    order = [(a, b)]
+    for x, y in order:
+        order.extend((c, d) for c in x[5] for d in y[5] if c[0] == d[0])
+    for x, y in reversed(order):
+        known[id(x), id(y)] = _matched(x[5], y[5], known)
+    return known
+
+
+def _matched(left: list, right: list, known: dict) -> tuple[int, list[tuple[int, int]]]:
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     gain = [[0] * len(right) for _ in left]
     for i, x in enumerate(left):
         for j, y in enumerate(right):
-            gain[i][j] = matching(x, y)[0] if x[0] == y[0] else 0
+            gain[i][j] = known[id(x), id(y)][0] if x[0] == y[0] else 0
             best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j])
     pairs, i, j = [], len(left), len(right)
     while i and j:
@@ -203,6 +252,11 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return best[-1][-1] + 1, pairs[::-1]
 
 
+def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two nodes of one signature: nodes matched in all, and the pairs of their children."""
+    return _aligned(a, b)[id(a), id(b)]
+
+
 def _add(a: list, b: list) -> None:
     for k in (1, 2, 3):
         a[k] += b[k]
@@ -220,62 +274,66 @@ def merge_same(a: list, b: list) -> None:
 
 def merge(a: list, b: list) -> None:
     """Adds template ``b`` of the same signature to ``a``: aligned nodes add up, others are put in place."""
-    _add(a, b)
-    out, i, j = [], 0, 0
-    for x, y in [*matching(a, b)[1], (len(a[5]), len(b[5]))]:
-        out += a[5][i:x] + b[5][j:y]
-        if x < len(a[5]) and y < len(b[5]):
-            merge(a[5][x], b[5][y])
-            out.append(a[5][x])
-        i, j = x + 1, y + 1
-    a[5] = out
+    known, todo = _aligned(a, b), [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        _add(a, b)
+        out, i, j = [], 0, 0
+        for x, y in [*known[id(a), id(b)][1], (len(a[5]), len(b[5]))]:
+            out += a[5][i:x] + b[5][j:y]
+            if x < len(a[5]) and y < len(b[5]):
+                todo.append((a[5][x], b[5][y]))
+                out.append(a[5][x])
+            i, j = x + 1, y + 1
+        a[5] = out
 
 
 def has_landmark(node: list) -> bool:
     """Whether an article or main element stands outside the furniture."""
-    return not furniture(node[0]) and (node[0].partition(".")[0] in LANDMARK_TAGS or any(map(has_landmark, node[5])))
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if not furniture(node[0]):
+            if node[0].partition(".")[0] in LANDMARK_TAGS:
+                return True
+            todo += node[5]
+    return False
 
 
 def slots(template: list, landmarks: bool) -> dict[int, bool]:
     """Whether each template node (by identity) is content, for pages with or without a landmark."""
     found: dict[int, bool] = {}
-
-    def weight(node: list) -> tuple[int, int]:
-        size, linked = node[2], node[3]
-        for child in node[5]:
-            s, k = weight(child)
-            size, linked = size + s, linked + k
-        return size, linked
-
-    def mark(node: list, inside: bool, out: bool) -> None:
+    weights: dict[int, tuple[int, int]] = {}  # text and linked text of a node and all below it
+    for node in reversed(number(template)):
+        below = [weights[id(child)] for child in node[5]]
+        weights[id(node)] = node[2] + sum(s for s, _ in below), node[3] + sum(k for _, k in below)
+    todo = [(template, False, False)]
+    while todo:
+        node, inside, out = todo.pop()
         tag = node[0].partition(".")[0]
         inside = inside or tag in LANDMARK_TAGS
         out = out or furniture(node[0])
         if not inside and not landmarks and not out and tag in ("ul", "ol", "div", "section", "table", "p"):
-            size, linked = weight(node)
+            size, linked = weights[id(node)]
             out = size > 0 and linked >= LINKED_SHARE * size
         constant = not inside and node[1] >= CONSTANT_PAGES and max(node[4].values(), default=0) >= CONSTANT_SHARE * node[1]
         found[id(node)] = (inside or not landmarks) and not out and not constant
-        for child in node[5]:
-            mark(child, inside, out)
-
-    mark(template, False, False)
+        todo += [(child, inside, out) for child in node[5]]
     return found
 
 
 def labels(page: list, template: list) -> dict[int, bool]:
     """Content or not for each node of a page's shape, by its place in the host's template."""
-    known, out = slots(template, has_landmark(page)), {}
-
-    def walk(node: list, other: list | None, above: bool, barred: bool) -> None:
+    known, out, aligned = slots(template, has_landmark(page)), {}, _aligned(page, template)
+    todo: list[tuple[list, list | None, bool, bool]] = [(page, template, False, False)]
+    while todo:
+        node, other, above, barred = todo.pop()
         barred = barred or furniture(node[0])
         mine = known[id(other)] if other is not None else above and not barred
         out[id(node)] = mine
-        pairs = dict(matching(node, other)[1]) if other is not None else {}
+        pairs = dict(aligned[id(node), id(other)][1]) if other is not None else {}
         for i, child in enumerate(node[5]):
-            walk(child, other[5][pairs[i]] if i in pairs else None, mine or child[0].partition(".")[0] in LANDMARK_TAGS, barred)
-
-    walk(page, template, False, False)
+            todo.append((child, other[5][pairs[i]] if i in pairs else None, mine or child[0].partition(".")[0] in LANDMARK_TAGS, barred))
     return out
 
 
@@ -341,14 +399,14 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
             else:
                 out[host] = template
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([salt] * len(out), pa.int32()), pa.array([json.dumps(t) for t in out.values()])], names=["host", "salt", "template"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([salt] * len(out), pa.int32()), pa.array([dumps(t) for t in out.values()])], names=["host", "salt", "template"])
 
     def meet(group: pa.Table) -> pa.Table:
         blobs = sorted(group["template"].to_pylist())
-        whole = json.loads(blobs[0])
+        whole = loads(blobs[0])
         for blob in blobs[1:]:
-            merge(whole, json.loads(blob))
-        return group.select(["host", "salt"]).slice(0, 1).append_column("template", pa.array([json.dumps(whole)]))
+            merge(whole, loads(blob))
+        return group.select(["host", "salt"]).slice(0, 1).append_column("template", pa.array([dumps(whole)]))
 
     partial = rows.mapInArrow(fold, "host string, salt int, template string")
     schema = "host string, salt int, template string"
@@ -384,7 +442,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     parsed.clear()
                 if key not in decided:
                     if template not in parsed:
-                        parsed[template] = json.loads(template)
+                        parsed[template] = loads(template)
                     found = labels(own, parsed[template])
                     decided[key] = [found[id(x)] for x in number(own)]
                 wanted = {id(x): keep for x, keep in zip(number(own), decided[key])}

@@ -43,6 +43,16 @@ def test_edges(spark):
     assert wrapper.extract(pages(spark, rows).limit(0)).collect() == []
 
 
+def test_what_follows_deep_elements(spark):
+    deep = "<div class=page><article>" + "<div>" * 200 + "in" + "</div>" * 200 + "<p>rest {i}</p></article></div><nav>menu {i}</nav>"
+    inline = "<article>" + "<font>" * 200 + "<p>text {i}</p><nav>menu {i}</nav><aside>side {i}</aside></article>"
+    deeper = "<article>" + "<div><b>" * 3000 + "in {i}" + "</b></div>" * 3000 + "<p>rest {i}</p></article>"
+    rows = [(10 * k + i, f"http://{k}.example/{i}", x.format(i=i)) for k, x in enumerate((deep, inline, deeper)) for i in range(3)]
+    got = texts(pages(spark, rows).repartition(3))
+    want = ("in\nrest {i}", "text {i}", "in {i}\nrest {i}")
+    assert got == {10 * k + i: x.format(i=i) for k, x in enumerate(want) for i in range(3)}
+
+
 def test_simple_tree_matching():
     a, b = (wrapper.shape(wrapper.parse(x)) for x in ("<div><p>1</p><ul></ul><table></table></div>", "<div><h1>0</h1><p>1</p><table></table></div>"))
     size, _ = wrapper.matching(a, b)
