@@ -192,7 +192,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int =
         phrases.rank(_term_counts(index, shared))
         parts.append(searched(spark.sparkContext.broadcast(vars(phrases))))
     if len(parts) == 1:
-        return parts[0].select("id", "n_words", "items", "spans", _covered("spans").alias("n_hit"))
+        return parts[0].select("id", "n_words", F.array_distinct("items").alias("items"), "spans", _covered("spans").alias("n_hit"))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

@@ -51,6 +51,15 @@ def test_equals_brute_force_with_one_block_and_many(edge, items, block_bytes, mo
         assert r["n_hit"] == sum(b - a for a, b in r["spans"]) if block_bytes > 200 else True
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 30])
+def test_an_id_counts_once_however_often_its_rows_repeat(spark, block_bytes, monkeypatch):
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", block_bytes)
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "doc_id long, text string")
+    given = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "delta epsilon"), (2, "epsilon zeta")]
+    rows = contamination.decontaminate(docs, spark.createDataFrame(given, "item_id long, text string")).collect()
+    assert [(sorted(r["items"]), r["n_hit"]) for r in rows] == [([1, 2], 6)]
+
+
 def test_proximity_lets_words_move(spark):
     docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha q q q beta gamma delta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
