@@ -129,8 +129,7 @@ FROM scored WHERE score > 0 QUALIFY rank <= 50
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(toxicity.features(docs.select("doc_id", "text").join(labels, "doc_id"), "label"))
+    model = toxicity.fit(toxicity.features(toxicity.labelled(docs, table(spark, sf_dir, "labels").filter(~held_out), "toxic")))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -7,9 +7,10 @@ of squared gradients for each coordinate: its rate falls with its own gradients,
 stays within ``L1`` weighs exactly nothing. What is left, a few hashes and weights, is small enough to
 broadcast: 2^BITS of them at the very most.
 
-Labelled rows are dealt into shards of about ``SHARD_ROWS`` rows by a hash of their id. Each shard is learned by one
-task in an order fixed by that hash, ``EPOCHS`` times, and the shards' weights are averaged, each shard
-counting by its rows, so any number of labelled rows may teach and none is left out.
+``labelled`` draws at most ``LABELLED_ROWS`` labelled rows, those with the smallest hash of their id, so that they can
+be broadcast to the texts, which are not shuffled. Labelled rows are dealt into shards of about ``SHARD_ROWS`` rows by
+that hash. Each shard is learned by one task in an order fixed by the hash, ``EPOCHS`` times, and the shards' weights
+are averaged, each shard counting by its rows; ``fit`` itself takes any number of rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ STEMS = (4, 5, 6)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
 EPOCHS = 3
 SHARD_ROWS = 8192
+#: Labelled rows that are learned from at most.
+LABELLED_ROWS = 20_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +75,14 @@ def _each(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield lo, hi, rows, features
 
 
-def features(docs: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = LABELLED_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, label) of the documents of at most ``most`` labels that are not missing, the same ones on every run."""
+    known = pick(labels, id=id_col, label=label).filter("id is not null and label is not null")
+    drawn = known.orderBy(F.xxhash64("id"), "id", "label").limit(most)
+    return pick(docs, id=id_col, text=text_col).join(F.broadcast(drawn), "id")
+
+
+def features(docs: DataFrame, label: str = "label", id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, label, x array<int>) with the distinct features of every labelled row's whole text."""
     rows = pick(docs, id=id_col, text=text_col, label=label).filter("label is not null").withColumn("label", F.col("label").cast("int"))
     schema = T.StructType([rows.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.IntegerType()))])
