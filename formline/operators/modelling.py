@@ -41,9 +41,13 @@ def random_forest(label: str = "label", trees: int = 250, leaf: int = 10, depth:
 
 
 def gbt(
-    label: str = "label", loss: str = "squared", rounds: int = 250, step: float = 0.05, leaf: int = 20, depth: int = 5, classify: bool = False
+    label: str = "label", loss: str = "squared", rounds: int = 250, step: float = 0.05, leaf: int = 20, depth: int = 5, classify: bool = False,
+    held: str | None = None, tolerance: float = 1e-3,
 ) -> Estimator:
+    """``held``, a boolean column, keeps rows out of the trees and ends boosting once their loss stops falling."""
     settings = {"labelCol": label, "maxIter": rounds, "stepSize": step, "minInstancesPerNode": leaf, "maxDepth": depth, "seed": SEED}
+    if held:
+        settings |= {"validationIndicatorCol": held, "validationTol": tolerance}
     return GBTClassifier(**settings) if classify else GBTRegressor(lossType=loss, **settings)
 
 
