@@ -148,14 +148,15 @@ def _compare_strip(group: pa.Table) -> pa.Table:
     coded = source.take(pa.array(cells)).dictionary_encode()
     rows = np.array([row_of[s] for s in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
     terms = column.take(pa.array(cells)).dictionary_encode()
-    codes, width = terms.indices.to_numpy().astype(np.int64), len(terms.dictionary)
-    # columns of like density lie side by side, so empty quadrants are large
-    rank = np.empty(width, np.int64)
-    rank[np.argsort(-np.bincount(codes, minlength=width), kind="stable")] = np.arange(width)
-    tree = Tree(rows, rank[codes], p[cells], len(names), width)
-    first = int(np.searchsorted(tiles, tiles[0], "right")) if len(tiles) else 0
-    left = range(0, first)
-    right = range(0, first) if first == len(names) else range(first, len(names))
+    codes, used = terms.indices.to_numpy().astype(np.int64), len(terms.dictionary)
+    # columns of like density lie side by side, so empty quadrants are large; terms of other tiles alone come last
+    rank = np.empty(used, np.int64)
+    rank[np.argsort(-np.bincount(codes, minlength=used), kind="stable")] = np.arange(used)
+    tree = Tree(rows, rank[codes], p[cells], len(names), group["width"].to_numpy().max())
+    # a tile with itself, or two tiles, of which one may have no groups
+    one, other = group["tile_a"][0].as_py(), group["tile_b"][0].as_py()
+    first = int(np.searchsorted(tiles, one, "right"))
+    left, right = range(0, first), range(0, first) if one == other else range(first, len(names))
     sums = compare(tree, unseen, left, right)
     a, b = np.nonzero((np.arange(len(names))[:, None] < np.arange(len(names))[None, :]) & np.isin(np.arange(len(names)), left)[:, None] & np.isin(np.arange(len(names)), right)[None, :])
     ordered = pa.array([names[i] for i in order], pa.string())
@@ -195,9 +196,14 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
 
     at_zero = share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))
     heads = groups.withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)))
+    strip = F.pmod(F.xxhash64("term"), F.col("strips")).alias("strip")
+    widths = kept.join(groups.select("lang", "strips").distinct(), "lang").groupBy("lang", strip).agg(F.count(F.lit(1)).alias("width"))
     # without kept terms there is nothing to share: heads alone, of the same value
-    heads = heads.select("lang", "source", F.lit(None).cast("string").alias("term"), "strip", "tile", "tiles", F.when(F.col("kept") > 0, at_zero).otherwise(0).alias("p"))
-    body = shared.select("lang", "source", "term", F.pmod(F.xxhash64("term"), F.col("strips")).alias("strip"), "tile", "tiles", "p")
+    heads = heads.join(widths, ["lang", "strip"], "left").select(
+        "lang", "source", F.lit(None).cast("string").alias("term"), "strip", "tile", "tiles",
+        F.when(F.col("kept") > 0, at_zero).otherwise(0).alias("p"), F.coalesce("width", F.lit(0)).cast("long").alias("width"),
+    )
+    body = shared.select("lang", "source", "term", strip, "tile", "tiles", "p", F.lit(0).cast("long").alias("width"))
     # a tile meets every tile of its language once, itself included
     met = heads.unionByName(body).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     met = met.withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")})
