@@ -25,7 +25,7 @@ def test_stages_agree_with_their_operators(spark, tmp_path):
     ids = lambda d: {r["doc_id"] for r in d.select("doc_id").collect()}
     scores = {r["doc_id"]: r["score"] for r in QUERIES["op7_quality"](spark, SF).collect()}
     assert ids(good) == {k for k, s in scores.items() if s >= 0.3}
-    emptied = {r["doc_id"] for r in report_lines(good).filter("n_removed > 0").collect() if not r["text"].strip()}
+    emptied = {r["doc_id"] for r in report_lines(good, min_words=0).filter("n_removed > 0").collect() if not r["text"].strip()}
     assert ids(lines) == ids(good) - emptied and emptied
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert sum(k in ids(good) for k, q in labels.items() if q == 1) >= 0.98 * sum(labels.values())
