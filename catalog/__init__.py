@@ -6,7 +6,7 @@ import importlib
 
 from catalog.registry import ORACLE, QUERIES
 
-for _part in ("scalar", "history", "joining", "aggregate", "signal", "gold", "evaluation", "quality", "analysis", "models", "training", "similar"):
+for _part in ("scalar", "history", "joining", "aggregate", "signal", "gold", "evaluation", "quality", "analysis", "training", "models", "similar"):
     importlib.import_module(f"catalog.{_part}")
 
 __all__ = ["QUERIES", "ORACLE"]

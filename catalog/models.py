@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.gold import lagged, long_term
+from catalog.gold import lagged
 from catalog.history import performance
 from catalog.registry import query
+from formline.config import HORIZONS
 from formline.operators import imputing, metrics, modelling
+from formline.operators.frames import union_all
 from formline.session import cut
 
 FORM = ["pts_last_5", "pts_last_10", "pts_season_avg", "min_season_avg", "pts_last_5_minus_season_avg"]
@@ -116,14 +118,24 @@ def _(spark, d):
     return modelling.permutation_importance(model, valid, FORM, "label", IDS, repeats=2)
 
 
-@query("long_term_minutes_models")
+@query("long_term_minutes_models", " union all ".join(
+    f"select split, {h} as horizon, 'minutes' as task, count(*) as rows, 1 as fits_better_than_nothing from season_train where split in ('validation', 'test') and minutes_per_game_h{h} is not null group by split"
+    for h in HORIZONS), needs="season_train")
 def _(spark, d):
+    """Ridge minutes at every horizon, each learned on the rows whose own horizon is known."""
+    from catalog.training import season_train
     from formline.operators.labels import clip_prediction
 
-    df = long_term(spark, d).select("player_id", "anchor_season", "split", "minutes_per_game_lag_0", "minutes_per_game_lag_1", "age_at_anchor", "career_games", "minutes_per_game_h1")
-    df = cut(modelling.prepared(df, [], F.col("minutes_per_game_h1")))
-    features = ["minutes_per_game_lag_0", "minutes_per_game_lag_1", "age_at_anchor", "career_games"]
-    train = df.filter(F.col("split") == "train")
-    model = modelling.fit(train, features, modelling.ridge(10.0, train.count()), True)
-    scored = modelling.score(model, df).withColumn("prediction", clip_prediction("prediction", "minutes"))
-    return metrics.evaluate_by_split(scored, "label", "prediction", "minutes")
+    rows = cut(season_train(spark, d))
+    features = ["minutes_per_game_lag_0", "minutes_per_game_lag_1", "minutes_per_game_lag_2", "age_at_anchor", "games_played"]
+    parts = []
+    for h in HORIZONS:
+        df = modelling.prepared(rows, features, F.col(f"minutes_per_game_h{h}"))
+        train = df.filter(F.col("split") == "train")
+        model = modelling.fit(train, features, modelling.ridge(10.0, train.count()), True)
+        scored = modelling.score(model, df).withColumn("prediction", clip_prediction("prediction", "minutes"))
+        # least squares never does worse than the mean on the rows it learned from
+        better = metrics.regression_metrics(scored.filter(F.col("split") == "train"), "label", "prediction").select((F.col("r2") >= -1e-9).cast("int")).scalar()
+        found = metrics.evaluate_by_split(scored, "label", "prediction", "minutes")
+        parts.append(found.select("split", F.lit(h).alias("horizon"), "task", "rows", better.alias("fits_better_than_nothing")))
+    return union_all(parts)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,22 +78,69 @@ def correlation_summary(df: DataFrame, target: str, features: Sequence[str], min
     return out.withColumn("monotonic_minus_linear", F.col("abs_spearman") - F.col("abs_pearson"))
 
 
+def _ranked_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(row, x): average ranks of every column over its own values, NaN where it has none, as one array a row."""
+    numbered = cut(df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(features)])).withColumn("row", F.monotonically_increasing_id())
+    cells = [F.struct(F.lit(i).alias("at"), F.col(f"c{i}").alias("x")) for i in range(len(features))]
+    long = cut(numbered.select("row", F.explode(F.array(*cells)).alias("e")).select("row", "e.at", "e.x").filter("x is not null"))
+    values = long.groupBy("at", "x").agg(F.count(F.lit(1)).alias("n"))
+    run = over_history(values, ["at"], ["x"], Frames(running={"upto": ("sum", F.col("n"))}))
+    ranks = run.select("at", "x", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+    found = F.map_from_entries(F.collect_list(F.struct("at", "rank")))
+    wide = lookup(long, ranks, ["at", "x"]).groupBy("row").agg(found.alias("m"))
+    return wide.select("row", F.array(*[F.coalesce(F.col("m")[i], F.lit(float("nan"))) for i in range(len(features))]).alias("x"))
+
+
+def rank_products(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, corr) of every two columns of ``x``: rows that both have, and the correlation of their values over those rows.
+
+    Tasks add up products of columns by columns, a batch at a time; the driver sees a few numbers a pair of columns.
+    """
+    means = rows.agg(*[F.avg(F.nanvl(F.col("x")[i], F.lit(None))).alias(f"m{i}") for i in range(width)]).first()
+    centre = np.array([means[f"m{i}"] or 0.0 for i in range(width)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, width, width))
+        for batch in batches:
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            has = (~np.isnan(x)).astype(float)
+            x = np.where(has > 0, x - centre, 0.0)
+            sums += np.stack((has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size).astype(np.int32)), pa.array(sums.ravel())], names=["at", "v"])
+
+    got = rows.select("x").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")
+    if got.empty:
+        return np.zeros((width, width)), np.full((width, width), np.nan)
+    n, s, q, xy = got["v"].to_numpy().reshape(4, width, width)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = q - s * s / n
+        return n, (xy - s * s.T / n) / np.sqrt(spread * spread.T)
+
+
 def redundant_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.85) -> DataFrame:
     """Feature pairs whose absolute Spearman correlation reaches the threshold.
 
-    Each pair of columns is ranked over its own complete rows.
+    Each pair of columns is ranked over its own complete rows. Columns are ranked once, which is right for all
+    pairs that miss the same rows; only pairs that miss different rows are ranked again, each by itself.
     """
-    cast = df.select(*[number(c).alias(c) for c in features])
-    entries = [
-        F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in combinations(features, 2)
-    ]
+    spark, width = df.sparkSession, len(features)
+    ranked = cut(_ranked_rows(df, features))
+    n, corr = rank_products(ranked, width)
+    alike = [(i, j) for i, j in combinations(range(width), 2) if n[i, j] == n[i, i] == n[j, j]]
+    made = [(features[i], features[j], float(abs(corr[i, j]))) for i, j in alike if abs(corr[i, j]) >= threshold]
+    out = spark.createDataFrame(made, "feature_a string, feature_b string, abs_spearman_corr double")
+    again = [(i, j) for i, j in combinations(range(width), 2) if n[i, j] > 0 and (i, j) not in set(alike)]
+    if not again:
+        return out
+    used = sorted({i for pair in again for i in pair})
+    cast = df.select(*[number(features[i]).alias(f"c{i}") for i in used])
+    entries = [F.struct(F.lit(f"{i}|{j}").alias("pair"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for i, j in again]
     long = cast.select(F.explode(F.array(*entries)).alias("e")).select("e.*").dropna()
-    out = spearman(long, "pair").withColumn("abs_spearman_corr", F.abs("spearman"))
-    names = F.split("pair", r"\|")
-    return out.filter(F.col("abs_spearman_corr") >= threshold).select(
-        names[0].alias("feature_a"), names[1].alias("feature_b"), "abs_spearman_corr"
-    )
+    own = spearman(long, "pair").withColumn("abs_spearman_corr", F.abs("spearman")).filter(F.col("abs_spearman_corr") >= threshold)
+    names = F.array(*[F.lit(f) for f in features])
+    at = F.split("pair", r"\|")
+    return out.unionByName(own.select(
+        F.get(names, at[0].cast("int")).alias("feature_a"), F.get(names, at[1].cast("int")).alias("feature_b"), "abs_spearman_corr"))
 
 
 def _binned(value: Column, edges: Sequence[float]) -> Column:
