@@ -127,7 +127,7 @@ def _(spark, d):
     from formline.operators.labels import clip_prediction
 
     rows = cut(season_train(spark, d))
-    features = ["minutes_per_game_lag_0", "minutes_per_game_lag_1", "minutes_per_game_lag_2", "age_at_anchor", "games_played"]
+    features = ["minutes_per_game_lag_0", "minutes_per_game_lag_1", "age_at_anchor", "games_played"]
     parts = []
     for h in HORIZONS:
         df = modelling.prepared(rows, features, F.col(f"minutes_per_game_h{h}"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from formline.functions.scalars import number
 from formline.operators.frames import missing_flags
 from formline.operators.joins import join_same
 from formline.operators.ordered import hot_groups
+from formline.operators.preprocess import TabularPreprocessor
 from formline.operators.quantiles import global_quantiles, group_quantiles
 from formline.session import cut
 
@@ -125,16 +125,5 @@ def inverse_scaler(df: DataFrame, scaler: DataFrame, prediction: str, baseline:
 
 
 def tabular_preprocessor(numeric: Sequence[str], categorical: Sequence[str], scale: bool = False) -> Pipeline:
-    """Median imputation (+ scaling) and one-hot encoding of categories, unknown ones kept apart."""
-    stages = []
-    imputed = [f"{c}__imp" for c in numeric]
-    if numeric:
-        stages.append(Imputer(strategy="median", inputCols=list(numeric), outputCols=imputed))
-    if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__ix" for c in categorical], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"{c}__ix" for c in categorical], outputCols=[f"{c}__oh" for c in categorical]))
-    raw = "features_raw" if scale else "features"
-    stages.append(VectorAssembler(inputCols=[*imputed, *[f"{c}__oh" for c in categorical]], outputCol=raw))
-    if scale:
-        stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True))
-    return Pipeline(stages=stages)
+    """Exact median imputation (+ scaling) and one-hot codes of filled categories; labels not learned have no code."""
+    return Pipeline(stages=[TabularPreprocessor(numeric, categorical, "all" if scale else "none")])
