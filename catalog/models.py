@@ -118,6 +118,26 @@ def _(spark, d):
     return modelling.permutation_importance(model, valid, FORM, "label", IDS, repeats=2)
 
 
+class _Linear:
+    """A fixed scorer that SQL can repeat."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", 0.7 * F.coalesce("pts_last_5", F.lit(0.0)) + 0.2 * F.coalesce("min_season_avg", F.lit(0.0)))
+
+
+@query("permutation_importance_linear", """
+    with r as (select game_id, pts_last_5, min_season_avg, target_next_5_pts_avg as y, row_number() over (order by game_id) as p0, row_number() over (order by (game_id * 7919) % 10007, game_id) as p1,
+                      row_number() over (order by (game_id * 104729) % 9973, game_id) as p2 from performance),
+         v as (select r.y, r.pts_last_5 as a, r.min_season_avg as b, s.pts_last_5 as a1, s.min_season_avg as b1, t.pts_last_5 as a2, t.min_season_avg as b2 from r join r s on s.p1 = r.p0 join r t on t.p2 = r.p0),
+         l as (select avg(abs(y - 0.7 * a - 0.2 * b)) as base, avg(abs(y - 0.7 * a1 - 0.2 * b)) as x1, avg(abs(y - 0.7 * a2 - 0.2 * b)) as x2, avg(abs(y - 0.7 * a - 0.2 * b1)) as z1, avg(abs(y - 0.7 * a - 0.2 * b2)) as z2 from v)
+    select 'pts_last_5' as feature, (x1 + x2) / 2 - base as importance_mean, abs(x1 - x2) / 2 as importance_std from l
+    union all select 'min_season_avg', (z1 + z2) / 2 - base, abs(z1 - z2) / 2 from l""", doubles="importance_mean importance_std", needs="performance")
+def _(spark, d):
+    df = performance(spark, d).select(*IDS, "pts_last_5", "min_season_avg", TARGET)
+    orders = [[(F.col("game_id") * a) % b, F.col("game_id")] for a, b in ((7919, 10007), (104729, 9973))]
+    return modelling.permutation_importance(_Linear(), df, ["pts_last_5", "min_season_avg"], TARGET, IDS, orders=orders)
+
+
 @query("long_term_minutes_models", " union all ".join(
     f"select split, {h} as horizon, 'minutes' as task, count(*) as rows, 1 as fits_better_than_nothing from season_train where split in ('validation', 'test') and minutes_per_game_h{h} is not null group by split"
     for h in HORIZONS), needs="season_train")

@@ -208,22 +208,34 @@ def univariate_signal_scan(
 
 def permutation_importance(
     model, df: DataFrame, features: Sequence[str], label: str, ids: Sequence[str], repeats: int = 5, seed: int = SEED,
+    orders: Sequence[Sequence[Column]] | None = None,
 ) -> DataFrame:
-    """Rise of the MAE when one feature is shuffled.
+    """(feature, importance_mean, importance_std): rise of the MAE when one feature is shuffled, over the repeats.
 
-    A shuffle is a join of the rows in key order with the rows in hashed order; one join per
-    repeat serves every feature.
+    A shuffle gives the row at each place of the key order the values of the row at the same place of another
+    order: of a hash of the key, or each of ``orders`` (which must be total). Every row goes to its places in all orders
+    in one shuffle; the stored rows hold their own values next to the borrowed ones, and one scoring pass takes every
+    feature and repeat as variants of the row inside the task. ``model`` has ``transform`` giving ``prediction``.
     """
-    ordered = positions(df.select(*ids, *features, label), [], list(ids), "__at")
-    base = regression_metrics(score(model, ordered, "__p"), label, "__p").select("mae").scalar()
-    parts = []
-    for r in range(repeats):
-        hashed = df.select(*ids, *features).withColumn("__h", F.xxhash64(*ids, F.lit(seed + r)))
-        twin = positions(hashed, [], ["__h", *ids], "__at").select("__at", *[F.col(f).alias(f"__s_{f}") for f in features])
-        both = ordered.join(twin, "__at")
-        for f in features:
-            swapped = both.withColumn(f, F.col(f"__s_{f}"))
-            loss = regression_metrics(score(model, swapped, "__p"), label, "__p").select("mae")
-            parts.append(loss.select(F.lit(f).alias("feature"), (F.col("mae") - base).alias("loss")))
-    losses = union_all(parts)
-    return losses.groupBy("feature").agg(F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))
+    orders = orders or [[F.xxhash64(*ids, F.lit(seed + r)), *[F.col(c) for c in ids]] for r in range(repeats)]
+    placed = positions(df.select(*ids, *features, label), [], list(ids), "__p0")
+    for r, order in enumerate(orders, 1):
+        placed = positions(placed, [], order, f"__p{r}")
+    placed = cut(placed)
+    kinds = dict(placed.dtypes)
+    # place 0 keeps the row itself, place r lends its values to another row
+    goes = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"__p{r}").alias("at")) for r in range(len(orders) + 1)])).alias("g")
+    values = F.struct(*features, F.col(label).cast("double").alias("__y")).alias("v")
+    meets = placed.select(goes, values).select("g.at", "g.r", "v").groupBy("at")
+    rows = cut(meets.agg(*[F.max(F.when(F.col("r") == r, F.col("v"))).alias(f"v{r}") for r in range(len(orders) + 1)]).drop("at"))
+
+    def variant(feature: str | None, r: int) -> Column:
+        cells = [F.col(f"v{r if f == feature else 0}")[f].cast(kinds[f]).alias(f) for f in features]
+        return F.struct(F.lit(feature).cast("string").alias("feature"), F.lit(r).alias("repeat"), F.col("v0")["__y"].alias("label"), *cells)
+
+    every = [variant(None, 0), *[variant(f, r) for r in range(1, len(orders) + 1) for f in features]]
+    scored = model.transform(rows.select(F.explode(F.array(*every)).alias("e")).select("e.*"))
+    losses = cut(scored.groupBy("feature", "repeat").agg(F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("mae")))
+    base = losses.filter("feature is null").select("mae").scalar()
+    loss = F.col("mae") - base
+    return losses.filter("feature is not null").groupBy("feature").agg(F.avg(loss).alias("importance_mean"), F.stddev_pop(loss).alias("importance_std"))
