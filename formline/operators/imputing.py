@@ -20,14 +20,19 @@ from formline.session import cut
 def fill_median(df: DataFrame, columns: Sequence[str], fit_where: Column | None = None) -> DataFrame:
     """NULL <- median of the fitting rows (all rows by default), 0 when nothing was observed.
 
-    The medians, one row, are fetched and used as constants.
+    The medians, one row, are fetched and used as constants; one aggregate finds the columns that have gaps, and
+    only these get one.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
     clean = df.withColumns({c: number(c) for c in present})
-    medians = global_quantiles(clean if fit_where is None else clean.filter(fit_where), present, [0.5])
-    return clean.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0] if medians[c] else 0.0)) for c in present})
+    gaps = clean.agg(*[F.max(F.isnull(c)).alias(c) for c in present]).first()
+    open_columns = [c for c in present if gaps[c]]
+    if not open_columns:
+        return clean
+    medians = global_quantiles(clean if fit_where is None else clean.filter(fit_where), open_columns, [0.5])
+    return clean.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0] if medians[c] else 0.0)) for c in open_columns})
 
 
 def group_median_fill(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:

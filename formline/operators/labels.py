@@ -13,7 +13,7 @@ from formline.config import (
 )
 from formline.functions.scalars import bucketize, clamp, interaction, number, row_mean, season_start_year
 from formline.operators.aggregates import consistency_stats, segment_median
-from formline.operators.joins import future_lookup_left, join_same
+from formline.operators.joins import future_lookup_left, join_same, lookup
 from formline.operators.ordered import Frames, over_history
 from formline.operators.quantiles import group_quantiles
 from formline.operators.topk import latest_per_key
@@ -287,11 +287,12 @@ def prediction_to_share(prediction: Column | str, mode: str) -> Column:
 
 def residual_correction(df: DataFrame, train: Column, actual: str, predicted: str, segment: str = "salary_segment") -> DataFrame:
     """Add the training rows' median residual of the segment (or overall), clipped at 0."""
-    fit = df.filter(train).withColumn("__res", F.col(actual) - F.col(predicted))
-    medians = segment_median(fit, segment, "__res", "__seg")
-    overall = medians.select(F.max("global_median")).scalar()
-    out = df.join(medians.select(segment, "__seg"), segment, "left")
-    corrected = F.col(predicted) + F.coalesce(F.col("__seg"), overall)
+    # residuals and their medians, a row a segment, are written once; the rest reads only these
+    fit = cut(df.filter(train).select(segment, (F.col(actual) - F.col(predicted)).alias("__res")))
+    medians = cut(segment_median(fit, segment, "__res", "__seg"))
+    overall = medians.agg(F.max("global_median")).first()[0]
+    out = lookup(df, medians.select(segment, "__seg"), [segment])
+    corrected = F.col(predicted) + F.coalesce(F.col("__seg"), F.lit(overall).cast("double"))
     return out.withColumn("corrected", clamp(corrected, 0, None)).drop("__seg")
 
 
