@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +75,35 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Has Spark delete the shuffle files of an execution when it ends.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITING = threading.Lock()
+_WRITES: dict[SparkSession, tuple[int, str | None]] = {}
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Executions inside leave no shuffle files behind: what they write replaces them, so disks hold one step's shuffles.
+
+    Writes may overlap; the session's own setting returns with the last of them.
+    """
+    with _WRITING:
+        running, before = _WRITES.get(spark, (0, spark.conf.get(CLEANUP_KEY, None)))
+        _WRITES[spark] = (running + 1, before)
+        spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        with _WRITING:
+            running, before = _WRITES.pop(spark)
+            if running > 1:
+                _WRITES[spark] = (running - 1, before)
+            elif before is None:
+                spark.conf.unset(CLEANUP_KEY)
+            else:
+                spark.conf.set(CLEANUP_KEY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise as a table in the shared checkpoint folder and read it back.
 
@@ -80,7 +112,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/formline-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,7 +121,8 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Materialise as a warehouse table in hash buckets of ``key``: grouping by it needs no shuffle."""
     name = f"formline_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    with shuffles_removed(df.sparkSession):
+        df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
     MADE.append(_TABLE + name)
     return df.sparkSession.table(name)
 
