@@ -48,8 +48,11 @@ def linked_groups(
     with one key, given the prefixes of both sides' payload columns; it must hold for at least one common key of
     every linked pair. verify: keeps the linked ones of distinct pairs (a, b).
     """
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("met"))
-    dense = cut(keyed.join(shared.filter("low < high").select("key", "met"), "key"))
+    # one shuffle serves both the counts and the join: they read the same columns of it
+    dealt = keyed.repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("met"), *[F.max(c).alias(f"read_{c}") for c in payload])
+    shared = shared.filter(" and ".join(["low < high", *[f"(read_{c} is null or read_{c} is not null)" for c in payload]])).select("key", "met")
+    dense = cut(dealt.join(shared.hint("shuffle_hash"), "key"))
     own = [F.col(c).alias(f"b_{c}") for c in payload]
     # a key of two rows is one pair; only larger ones have a hub, and pairs left to try
     two, large = dense.filter("met = 2"), dense.filter("met > 2")
