@@ -1,7 +1,11 @@
 """Inputs that a builder reads several times are written once: what comes after reads the written tables."""
 
-from catalog.gold import gold_role
+import pytest
+from pyspark.sql import functions as F
+
+from catalog.gold import gold_role, sparse_summary
 from catalog.views import LONG_SPLIT, view
+from formline.operators import labels
 from formline.plans import builders
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +24,11 @@ def test_salary_reads_written_salaries_and_caps(spark):
     out = builders.build_salary_training(
         view(spark, SF, "v_salaries"), view(spark, SF, "v_cap"), view(spark, SF, "v_players"), gold_role(spark, SF), LONG_SPLIT)
     assert not read_by(out, "lineitem")
+
+
+@pytest.mark.parametrize("itself", [True, False])
+def test_joined_horizons_read_written_summary(spark, itself):
+    s = sparse_summary(spark, SF)
+    out = labels.horizon_targets(s, s if itself else sparse_summary(spark, SF))
+    assert not read_by(out, "orders")
+    assert out.count() == s.count() and out.filter(F.col("active_h1") == 1).count() > 0
