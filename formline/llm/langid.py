@@ -8,7 +8,8 @@ Hashes have as many bits as keep the model below ``MODEL_BYTES`` (hash collision
 is broadcast has a bound that depends on the number of languages only.
 
 A text goes to the language of the lowest cross-entropy per character. The temperature of the scores and
-each language's rejection threshold are calibrated on ``CALIBRATION_ROWS`` training texts at most.
+each language's rejection threshold are calibrated on all training texts: tasks score them, Spark adds up the losses
+and takes the quantiles.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from formline.llm.common import few_rows, pick
+from formline.operators.quantiles import group_quantiles
 from formline.session import cut
 
 #: Characters of the longest n-gram; four 16-bit characters fill a 64-bit key.
 ORDER = 4
 #: Upper bound of the model arrays.
 MODEL_BYTES = 192 << 20
-#: Training texts, at most, that calibrate scores and rejection.
-CALIBRATION_ROWS = 4000
+#: Temperatures of the scores among which calibration chooses.
+TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 #: Share of a language's own texts that its rejection threshold accepts.
 ACCEPTED = 0.995
 #: Characters handled at a time, long texts aside.
@@ -274,32 +276,32 @@ def _posterior(entropy: np.ndarray, counts: np.ndarray, temperature: float) -> n
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Temperature and limits from whole texts drawn by their hash; only their cross-entropies are collected."""
+    """Temperature and limits from all training texts; a loss per temperature and a quantile per language are collected."""
     model.limits = [float("inf")] * len(model.langs)
     if not model.langs:
         return
-    share = min(1.0, CALIBRATION_ROWS / max(1, rows.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     shared = rows.sparkSession.sparkContext.broadcast(vars(model) | {"limits": []})
+    losses = [f"loss_{i}" for i in range(len(TEMPERATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, own = _folding(), Model(**shared.value)
+        place = {lang: i for i, lang in enumerate(own.langs)}
         for batch in few_rows(batches):
             entropy, counts = cross_entropies(own, batch["text"].to_pylist(), fold)
-            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(entropy.tolist(), pa.list_(pa.float64())), pa.array(counts)], names=["lang", "entropy", "n"])
-
-    sample = drawn.select("lang", "text").mapInArrow(run, "lang string, entropy array<double>, n long").filter("n > 0").limit(2 * CALIBRATION_ROWS).collect()
-    if not sample:
+            # a language that taught nothing has only texts without characters, which are dropped
+            truth, each = np.array([place.get(v, 0) for v in batch["lang"].to_pylist()], np.int64), np.arange(len(counts))
+            loss = [-np.log(np.maximum(_posterior(entropy, counts, t)[each, truth], 1e-12)) for t in TEMPERATURES]
+            yield pa.RecordBatch.from_arrays(
+                [batch["lang"], pa.array(counts), pa.array(entropy[each, truth]), *map(pa.array, loss)], names=["lang", "n", "entropy", *losses])
+
+    schema = "lang string, n long, entropy double, " + ", ".join(f"{c} double" for c in losses)
+    scored = cut(rows.select("lang", "text").mapInArrow(run, schema).filter("n > 0"))
+    mean = scored.agg(*[F.avg(c).alias(c) for c in losses]).first()
+    if mean[losses[0]] is None:
         return
-    entropy, counts = np.array([r["entropy"] for r in sample]), np.array([r["n"] for r in sample])
-    truth = np.array([model.langs.index(r["lang"]) for r in sample])
-    grid = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
-    loss = [-np.log(np.maximum(_posterior(entropy, counts, t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
-    model.temperature = grid[int(np.argmin(loss))]
-    for i in range(len(model.langs)):
-        own = entropy[truth == i, i]
-        if len(own):
-            model.limits[i] = float(np.quantile(own, ACCEPTED)) * 1.05
+    model.temperature = TEMPERATURES[int(np.argmin([mean[c] for c in losses]))]
+    for r in group_quantiles(scored, ["lang"], ["entropy"], [ACCEPTED]).collect():  # a row a language
+        model.limits[model.langs.index(r["lang"])] = r["entropy__q"][0] * 1.05
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,6 +86,20 @@ def test_nothing_learned_and_empty_table(edge, empty, small):
     assert langid.identify(empty, model).collect() == []
 
 
+def test_calibration_takes_every_training_text(spark):
+    """Limits are quantiles of all texts of a language, and texts without letters teach nothing."""
+    words = ["lamp", "river", "stone", "cloud", "seven", "bread", "winter", "paper", "garden", "music"]
+    cell = lambda i: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10)) + 1).cast("int"))
+    docs = spark.range(9000).withColumn("lang", F.when(F.col("id") < 60, "xx").otherwise("yy"))
+    docs = docs.withColumn("text", F.concat_ws(" ", cell(0), cell(1), F.when(F.col("lang") == "xx", F.concat(F.lit("zq"), "id")))).drop("id")
+    docs = docs.unionByName(spark.createDataFrame([("zz", "123 456")], "lang string, text string"))
+    model = langid.train(docs)
+    assert model.langs == ["xx", "yy"] and model.temperature in langid.TEMPERATURES
+    for i, lang in enumerate(model.langs):
+        entropy, counts = langid.cross_entropies(model, [r["text"] for r in docs.filter(F.col("lang") == lang).collect()], FOLD)
+        assert model.limits[i] == pytest.approx(np.quantile(entropy[counts > 0, i], langid.ACCEPTED) * 1.05, rel=1e-12)
+
+
 def test_letters_folds_everything_else():
     codes, bounds = langid.letters(["A1b  c", None, "", "é😀x"], FOLD)
     texts = ["".join(map(chr, codes[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
