@@ -186,3 +186,17 @@ def test_quantile_regressions_learn_from_written_rows(spark, monkeypatch):
     df = spark.createDataFrame([(float(i), "train", float(i % 7)) for i in range(60)], "a double, split string, label double")
     out, _ = linear.quantile_regression(df, ["a"])
     assert seen[0].inputFiles() and out.count() == 60
+
+
+def test_tasks_of_the_same_rows_share_a_preprocessor(spark, tmp_path, monkeypatch):
+    """Minutes, direct and per-36 labels are known for the same rows, activity for all."""
+    fits, plain = [], TabularPreprocessor.fit
+    monkeypatch.setattr(TabularPreprocessor, "fit", lambda self, df: (fits.append(df.count()), plain(self, df))[1])
+    tasks = [*training.minutes_tasks((1,), ("linear",)), *training.per_game_tasks((1,), ("linear",), ("pts",)), training.long_term_tasks((1,), ("linear",))[0]]
+    df = task_rows(spark)
+    found = training.train_tasks(df, tasks, folder=str(tmp_path)).evaluations.collect()
+    train = df.filter("split = 'train'")
+    assert sorted(fits) == [train.filter("active_h1 = 1").count(), train.count()]
+    known = df.filter("split = 'test' and active_h1 = 1").count()
+    assert {r["rows"] for r in found if r["split"] == "test" and r["family"] != "long_term"} == {known}
+    assert all((tmp_path / t.key / "preprocessor").exists() for t in tasks)
