@@ -32,3 +32,12 @@ def test_joined_horizons_read_written_summary(spark, itself):
     out = labels.horizon_targets(s, s if itself else sparse_summary(spark, SF))
     assert not read_by(out, "orders")
     assert out.count() == s.count() and out.filter(F.col("active_h1") == 1).count() > 0
+
+
+def test_long_term_reads_written_logs(spark):
+    logs, players, stats = (view(spark, SF, v) for v in ("v_logs_long", "v_players", "v_season_stats"))
+    assert not read_by(builders.build_long_term_training(logs, players, stats, LONG_SPLIT), "lineitem")
+
+
+def test_anchors_without_pace_read_written_totals(spark):
+    assert not read_by(builders.season_anchors(view(spark, SF, "v_logs_long"), view(spark, SF, "v_players"), None), "lineitem")
