@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import QUERIES, models
+from catalog import training as queries
 from formline.operators import modelling
+from formline.plans import training
 
 
 class Seen(Exception):
@@ -30,6 +32,12 @@ def test_quantile_ranges_boost_all_rounds(monkeypatch):
     assert build().getOrDefault("rounds") == modelling.gbt().getOrDefault("rounds") == 250
 
 
+def test_minutes_are_trained_with_the_drivers_defaults(monkeypatch):
+    monkeypatch.setattr(queries, "season_train", lambda spark, d: None)
+    given, named = asked(monkeypatch, training, "train_tasks", "train_minutes")
+    assert not named and len(given) == 2 and {m for t in given[1] for m in t.models} == set(training.LEARNED)
+
+
 def test_the_grid_query_trains_every_estimator(monkeypatch):
     monkeypatch.setattr(models, "lagged", lambda spark, d: None)
     monkeypatch.setattr(models, "cut", lambda df: df)
