@@ -26,6 +26,10 @@ from formline.session import cut
 SHARD_BYTES = 2 << 20
 #: Benchmark text bytes that are searched for at a time; more items come in more blocks.
 BLOCK_BYTES = 8 << 20
+#: Phrases ranked at a time.
+STEP = 100_000
+#: Row groups of the stored index: a reader holds one at a time, whatever the size of its files.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 #: Words between the documents of a shard, so that no match reaches over; also the largest slop.
 GAP = 64
 
@@ -68,30 +72,37 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Phrases:
-    """Windows of a block of benchmark items as rows of term hashes; distinct windows once."""
+    """Windows of a block of benchmark items as slices of the block's words; distinct windows once."""
 
     def __init__(self, items: list[tuple], window: int):
         ids, texts = [i for i, _ in items], pa.array([t for _, t in items], pa.string())
         found = words(*bytes_of(texts), ALPHANUMERIC, lower=True)
-        rows: dict[tuple, int] = {}
-        pairs = []
-        for item, (lo, hi) in enumerate(zip(found.first[:-1], found.first[1:])):
-            hashes = found.hashes.view(np.int64)[lo:hi].tolist()
-            for at in range(max(1, len(hashes) - window + 1) if hashes else 0):
-                pairs.append((rows.setdefault(tuple(hashes[at : at + window]), len(rows)), item))
-        self.ids, self.width = ids, window
-        self.lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.terms = np.array([list(w) + [0] * (window - len(w)) for w in rows], np.int64).reshape(len(rows), window)
-        self.pairs = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
-        self.vocabulary = np.unique(self.terms[np.arange(window) < self.lens[:, None]])
-        self.order = np.tile(np.arange(window), (len(rows), 1))
-
-    def rank(self, counts: dict[int, int]) -> None:
-        """Offsets of each phrase, rarest term first (ties: earlier), by counts over the whole index."""
-        known = np.array([counts.get(t, 0) for t in self.vocabulary.tolist()], np.int64)
-        rarity = known[np.searchsorted(self.vocabulary, self.terms).clip(0, max(0, len(known) - 1))] if len(known) else self.terms
-        rarity = np.where(np.arange(self.width) < self.lens[:, None], rarity, np.iinfo(np.int64).max)
-        self.order = np.argsort(rarity, axis=1, kind="stable")
+        self.vocabulary, stream = np.unique(found.hashes.view(np.int64), return_inverse=True)
+        self.ids, self.width, self.stream = ids, window, stream.astype(np.int32)
+        n_words = np.diff(found.first)
+        windows = np.where(n_words > 0, np.maximum(1, n_words - window + 1), 0)
+        item = np.repeat(np.arange(len(ids)), windows)
+        start = found.first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        lens = np.minimum(window, n_words[item])
+        rows = np.full((len(item), window), -1, np.int32)
+        for j in range(window):
+            rows[lens > j, j] = self.stream[start[lens > j] + j]
+        _, at, which = np.unique(rows.view(np.dtype((np.void, rows.itemsize * window))).ravel(), return_index=True, return_inverse=True)
+        self.start, self.lens = start[at], lens[at]
+        pairs = np.unique(which * np.int64(max(1, len(ids))) + item)
+        self.pairs = np.stack(np.divmod(pairs, max(1, len(ids))), axis=1)
+        self.order = np.tile(np.arange(window, dtype=np.int8), (len(at), 1))
+
+    def rank(self, counts: np.ndarray) -> None:
+        """Offsets of each phrase, rarest term first (ties: earlier), by counts of the vocabulary over the whole index."""
+        for lo in range(0, len(self.start), STEP):
+            own, lens = slice(lo, lo + STEP), self.lens[lo : lo + STEP]
+            rarity = np.where(np.arange(self.width) < lens[:, None], counts[self._words(own)], np.iinfo(np.int64).max)
+            self.order[own] = np.argsort(rarity, axis=1, kind="stable")
+
+    def _words(self, phrases: slice | np.ndarray) -> np.ndarray:
+        """Places in the vocabulary of the phrases' words; beyond a phrase's end they mean nothing."""
+        return self.stream[(self.start[phrases][:, None] + np.arange(self.width)).clip(max=len(self.stream) - 1)]
 
     def matches(self, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, start) of every match in a shard."""
@@ -99,26 +110,28 @@ class Phrases:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         begin = np.cumsum(counts) - counts
         span = np.int64(int(positions.max()) + 2 * GAP + 2 * self.width)
-        at = np.searchsorted(terms, self.terms).clip(0, len(terms) - 1)
-        used = np.arange(self.width) < self.lens[:, None]
-        present = ((terms[at] == self.terms) | ~used).all(axis=1)
-        each = np.arange(len(self.lens))
-        rarest = at[each, self.order[:, 0]]
-        size = np.where(present, counts[rarest], 0)
+        found = np.searchsorted(terms, self.vocabulary).clip(0, len(terms) - 1)
+        missing = np.concatenate(([0], np.cumsum((terms[found] != self.vocabulary)[self.stream])))
+        # only phrases whose words the shard has
+        own = np.flatnonzero(missing[self.start + self.lens] == missing[self.start])
+        at, order, lens = found[self._words(own)], self.order[own], self.lens[own]
+        each = np.arange(len(own))
+        rarest = at[each, order[:, 0]]
+        size = counts[rarest]
         phrase = np.repeat(each, size)
         within = np.arange(len(phrase)) - np.repeat(np.cumsum(size) - size, size)
-        start = positions[begin[rarest[phrase]] + within].astype(np.int64) - self.order[phrase, 0]
+        start = positions[begin[rarest[phrase]] + within].astype(np.int64) - order[phrase, 0]
         keys = np.repeat(np.arange(len(terms), dtype=np.int64), counts) * span + positions
         for turn in range(1, self.width):
             if not len(phrase):
                 break
-            offset = self.order[phrase, turn]
-            due = turn < self.lens[phrase]
+            offset = order[phrase, turn]
+            due = turn < lens[phrase]
             wanted = at[phrase, offset] * span + start + offset
             place = np.searchsorted(keys, wanted - slop).clip(0, len(keys) - 1)
             hit = (keys[place] >= wanted - slop) & (keys[place] <= wanted + slop)
             phrase, start = phrase[hit | ~due], start[hit | ~due]
-        return phrase, start
+        return own[phrase], start
 
 
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
@@ -171,12 +184,14 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int =
                                 spans[d][-1][1] = max(b, spans[d][-1][1])
                             else:
                                 spans[d].append([a, b])
-                        hits = np.unique(np.stack((doc, phrase), axis=1), axis=0)
-                        first = np.searchsorted(block.pairs[:, 0], hits[:, 1])
-                        last = np.searchsorted(block.pairs[:, 0], hits[:, 1], "right")
-                        for d, a, b in zip(hits[:, 0].tolist(), first.tolist(), last.tolist()):
-                            out_items[d] += block.pairs[a:b, 1].tolist()
-                    named = [[block.ids[x] for x in sorted(set(x))] for x in out_items]
+                        hits = np.unique(doc * np.int64(len(block.lens)) + phrase)
+                        doc, phrase = np.divmod(hits, len(block.lens))
+                        first = np.searchsorted(block.pairs[:, 0], phrase)
+                        many = np.searchsorted(block.pairs[:, 0], phrase, "right") - first
+                        place = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                        for d, item in zip(*np.divmod(np.unique(np.repeat(doc, many) * np.int64(len(block.ids)) + block.pairs[place, 1]), len(block.ids))):
+                            out_items[d].append(item)
+                    named = [[block.ids[x] for x in own] for own in out_items]
                     shard = pa.array([batch["shard"][i].as_py()] * len(n_words), pa.int64())
                     yield pa.RecordBatch.from_arrays([
                         shard, pa.array(range(len(n_words)), pa.int32()), batch["ids"][i].values, pa.array(n_words, pa.int64()), pa.array(named, arrow.field("items").type),
@@ -214,7 +229,7 @@ def _covered(spans: str):
     return step["n"]
 
 
-def _term_counts(index: DataFrame, vocabulary) -> dict[int, int]:
+def _term_counts(index: DataFrame, vocabulary) -> np.ndarray:
     """Occurrences, over the whole index, of the terms of one block of phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,15 +241,20 @@ def _term_counts(index: DataFrame, vocabulary) -> dict[int, int]:
                 if len(terms) and len(wanted):
                     at = np.searchsorted(terms, wanted).clip(0, len(terms) - 1)
                     total += np.where(terms[at] == wanted, counts[at], 0)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array(total, pa.int64())], names=["term", "n"])
+        seen = np.flatnonzero(total)
+        for lo in range(0, len(seen), STEP):
+            yield pa.RecordBatch.from_arrays([pa.array(seen[lo : lo + STEP]), pa.array(total[seen[lo : lo + STEP]])], names=["place", "n"])
 
-    partial = index.select("terms", "counts").mapInArrow(run, "term long, n long")
-    return {r["term"]: r["n"] for r in partial.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    partial = index.select("terms", "counts").mapInArrow(run, "place long, n long")
+    found = partial.groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # two numbers a term of the block
+    out = np.zeros(len(vocabulary.value), np.int64)
+    out[found["place"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Builds and stores the index, then searches it: ``search``'s rows with the id column's own name."""
-    return search(cut(build_index(docs, id_col, text_col)), benchmark, window, slop).withColumnRenamed("id", id_col)
+    return search(cut(build_index(docs, id_col, text_col), ROW_GROUPS), benchmark, window, slop).withColumnRenamed("id", id_col)
 

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from formline.llm import contamination
@@ -83,3 +85,22 @@ def test_query(spark):
     got = [(str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in QUERIES["op2_decontamination"](spark, SF).collect()]
     assert sorted(got) == want
     assert any(g[5] for g in got)
+
+
+def test_a_block_of_phrases_takes_few_bytes_a_window():
+    """Tasks hold the words of a block once, not a row of 13 words and places for every window."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(40)]
+    block = contamination.Phrases(items, 13)
+    held = sum(v.nbytes for v in vars(block).values() if isinstance(v, np.ndarray))
+    assert len(block.lens) > 4000 and held < 80 * len(block.lens)
+
+
+def test_the_stored_index_is_read_a_few_shards_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(contamination, "ROW_GROUPS", contamination.ROW_GROUPS | {"parquet.block.size": "20000"})
+    kept, plain = [], contamination.cut
+    monkeypatch.setattr(contamination, "cut", lambda *given: (kept.append(plain(*given)), kept[-1])[1])
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(90)], "doc_id long, text string").coalesce(1)
+    contamination.decontaminate(df, spark.createDataFrame([(1, "w3x5 w3x6")], "item_id long, text string")).count()
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in kept[0].inputFiles()]
+    assert kept[0].count() == 90 and max(groups) >= 5
